@@ -148,8 +148,8 @@ TABLES = {
         SELECT r.request_id,
           max(h.occupancy_rate) FILTER (o = 1) AS lag_1h, max(h.occupancy_rate) FILTER (o = 24) AS lag_24h,
           max(h.occupancy_rate) FILTER (o = 168) AS lag_168h,
-          CASE WHEN count(h.occupancy_rate) FILTER (o <= 6) = 6 THEN avg(h.occupancy_rate) FILTER (o <= 6) END AS rolling_mean_6h,
-          CASE WHEN count(h.occupancy_rate) FILTER (o <= 24) = 24 THEN avg(h.occupancy_rate) FILTER (o <= 24) END AS rolling_mean_24h,
+          CASE WHEN count(h.occupancy_rate) FILTER (o <= 6) = 6 THEN list_sum(list(h.occupancy_rate ORDER BY o DESC) FILTER (o <= 6)) / 6 END AS rolling_mean_6h,
+          CASE WHEN count(h.occupancy_rate) FILTER (o <= 24) = 24 THEN list_sum(list(h.occupancy_rate ORDER BY o DESC) FILTER (o <= 24)) / 24 END AS rolling_mean_24h,
           CASE WHEN count(h.occupancy_rate) FILTER (o <= 24) = 24 THEN stddev_samp(h.occupancy_rate) FILTER (o <= 24) END AS rolling_std_24h
         FROM (SELECT request_id, station_id, ts, unnest(list_append(range(1, 25), 168)) AS o FROM timed) r
         LEFT JOIN hourly h ON h.station_id = r.station_id AND h."timestamp" = r.ts - to_hours(CAST(o AS BIGINT))
@@ -214,7 +214,7 @@ def with_tables(sql: str) -> str:
     for name in reversed(list(TABLES)):
         if name not in own and re.search(rf"\b{name}\b(?!\s*\()", text):
             needed.append(name)
-            text += TABLES[name]
+            text += "\n" + TABLES[name]
     if not needed:
         return sql
     head = ", ".join(f"{name} AS ({TABLES[name]})" for name in reversed(needed))

@@ -48,12 +48,14 @@ def sample_std_of(values: Column, mean: Column, n: int) -> Column:
 def attach_history(requests: DataFrame, history: DataFrame) -> DataFrame:
     """Add the lag and rolling features at ``ts`` and ``known_station``.
 
-    A missing observation gives NULL in every feature that needs it, never a near value.
+    A missing observation gives NULL in every feature that needs it, never a near value;
+    a time off the hour finds nothing.
     """
+    whole_hour = F.when(F.col("ts") == cal.hour_of(F.col("ts")), F.to_date("ts"))
     packed = pack_days(history)
     known = packed.select("station_id").distinct().withColumn("known_station", F.lit(True))
     looked_up = (
-        requests.withColumn("day", F.to_date("ts"))
+        requests.withColumn("day", whole_hour)
         .join(lookback_days(packed), ["station_id", "day"], "left")
         .withColumn("_w24", preceding_24h(F.col("ts")))
         .join(known, "station_id", "left")

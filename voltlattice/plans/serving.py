@@ -15,7 +15,7 @@ def features_at(points: DataFrame, history: DataFrame) -> DataFrame:
     looked_up = hist.attach_history(points, history)
     return looked_up.withColumns({
         **hist.calendar_features(F.col("ts")),
-        "is_holiday": cal.flag(F.coalesce("is_holiday", F.lit(False))),
+        "is_holiday": F.coalesce(cal.flag(F.col("is_holiday")), F.lit(0)),
         "error_code": quality.request_error(),
     })
 
