@@ -164,11 +164,14 @@ def demand_proxy(spark, sf_dir):
     return dash.demand_proxy(fx.sessions(spark, sf_dir)).select("session_id", "demand_proxy")
 
 
-def metric_sql(actual="occupancy_rate", predicted="predicted"):
+EXACT = (8, 8, 8)  # enough digits that summation order cannot show
+
+
+def metric_sql(actual="occupancy_rate", predicted="predicted", digits=EXACT):
     sse = f"sum(pow({actual} - {predicted}, 2))"
     sst = f"(var_pop({actual}) * count(*))"
-    return f"""{rnd(f"avg(abs({actual} - {predicted}))", 5)} AS mae, {rnd(f"sqrt(avg(pow({actual} - {predicted}, 2)))", 5)} AS rmse,
-      {rnd(f"CASE WHEN count(*) < 2 THEN NULL WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1 ELSE 0 END ELSE 1 - {sse} / {sst} END", 4)} AS r2"""
+    return f"""{rnd(f"avg(abs({actual} - {predicted}))", digits[0])} AS mae, {rnd(f"sqrt(avg(pow({actual} - {predicted}, 2)))", digits[1])} AS rmse,
+      {rnd(f"CASE WHEN count(*) < 2 THEN NULL WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1 ELSE 0 END ELSE 1 - {sse} / {sst} END", digits[2])} AS r2"""
 
 
 def tested(spark, sf_dir):
@@ -178,7 +181,7 @@ def tested(spark, sf_dir):
 
 @query("agg_17_metrics", f"SELECT split, {metric_sql()} FROM labelled GROUP BY split")
 def split_metrics(spark, sf_dir):
-    return metrics.metrics(tested(spark, sf_dir), "predicted_occupancy", by=["split"])
+    return metrics.metrics(tested(spark, sf_dir), "predicted_occupancy", by=["split"], digits=EXACT)
 
 
 @query("agg_18_error_slices", f"""
@@ -186,7 +189,7 @@ def split_metrics(spark, sf_dir):
     UNION ALL SELECT 'hour', CAST(hour AS VARCHAR), {metric_sql()} FROM labelled WHERE split = 'test' GROUP BY hour
     UNION ALL SELECT 'charger_type', charger_type, {metric_sql()} FROM labelled WHERE split = 'test' GROUP BY charger_type""")
 def error_slices(spark, sf_dir):
-    return metrics.error_slices(tested(spark, sf_dir).filter("split = 'test'"), "predicted_occupancy")
+    return metrics.error_slices(tested(spark, sf_dir).filter("split = 'test'"), "predicted_occupancy", digits=EXACT)
 
 
 @query("top_9_hours_by_error", f"""
@@ -194,15 +197,15 @@ def error_slices(spark, sf_dir):
     SELECT 'worst' AS kind, * FROM (SELECT * FROM h ORDER BY mae DESC, hour LIMIT 5)
     UNION ALL SELECT 'best', * FROM (SELECT * FROM h ORDER BY mae, hour LIMIT 5)""")
 def hours_by_error(spark, sf_dir):
-    by_hour = metrics.metrics(tested(spark, sf_dir).filter("split = 'test'"), "predicted_occupancy", by=["hour"])
+    by_hour = metrics.metrics(tested(spark, sf_dir).filter("split = 'test'"), "predicted_occupancy", by=["hour"], digits=EXACT)
     worst = by_hour.orderBy(F.desc("mae"), "hour").limit(5).select(F.lit("worst").alias("kind"), "*")
     return worst.unionByName(by_hour.orderBy("mae", "hour").limit(5).select(F.lit("best").alias("kind"), "*"))
 
 
 @query("agg_19_improvement", f"""
     WITH both_sides AS (SELECT *, CASE WHEN rolling_mean_24h IS NOT NULL THEN least(greatest(rolling_mean_24h, 0), 1) END AS second FROM labelled WHERE split = 'test'),
-      m AS (SELECT {metric_sql().replace(' AS mae', ' AS baseline_mae').replace(' AS rmse', ' AS baseline_rmse').replace(' AS r2', ' AS baseline_r2')},
-        {metric_sql(predicted='second').replace(' AS mae', ' AS model_mae').replace(' AS rmse', ' AS model_rmse').replace(' AS r2', ' AS model_r2')} FROM both_sides)
+      m AS (SELECT {metric_sql(digits=(5, 5, 4)).replace(' AS mae', ' AS baseline_mae').replace(' AS rmse', ' AS baseline_rmse').replace(' AS r2', ' AS baseline_r2')},
+        {metric_sql(predicted='second', digits=(5, 5, 4)).replace(' AS mae', ' AS model_mae').replace(' AS rmse', ' AS model_rmse').replace(' AS r2', ' AS model_r2')} FROM both_sides)
     SELECT *, {rnd("(baseline_mae - model_mae) / baseline_mae * 100", 2)} AS mae_improvement_pct,
       {rnd("(baseline_rmse - model_rmse) / baseline_rmse * 100", 2)} AS rmse_improvement_pct FROM m""")
 def improvement(spark, sf_dir):

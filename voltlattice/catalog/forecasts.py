@@ -1 +1,245 @@
-"""Pending."""
+"""Forest, booster and the jobs built on them. Checked by invariants instead of SQL.
+
+Models here are small; the library defaults are those of the full-size jobs.
+"""
+
+from pyspark.sql import functions as F
+
+from voltlattice.catalog.aggregates import metric_sql
+from voltlattice.catalog.functions import queues
+from voltlattice.catalog.registry import query
+from voltlattice.functions.rounding import pround
+from voltlattice.operators import boosting, forest, metrics, windows
+from voltlattice.plans import serving, training, waiting
+from voltlattice.session import materialize, shared_dir
+from voltlattice.sources import files, fixtures as fx
+
+SMALL = {"trees": 8, "depth": 5, "min_leaf": 10, "max_bins": 64}
+_held: dict = {}
+
+
+def once(spark, sf_dir, name, build):
+    """Fitted models and written inputs are shared by the queries of one session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = build()
+    return _held[key]
+
+
+def history(spark, sf_dir):
+    return once(spark, sf_dir, "history", lambda: materialize(fx.hourly(spark, sf_dir), "history"))
+
+
+def features(spark, sf_dir):
+    def build():
+        made = training.build_training_features(history(spark, sf_dir))
+        return materialize(windows.split_label(made, train=0.70, val=0.15, test=0.15), "features")
+
+    return once(spark, sf_dir, "features", build)
+
+
+def model(spark, sf_dir):
+    return once(spark, sf_dir, "forest", lambda: forest.train(features(spark, sf_dir).filter("split = 'train'"), **SMALL))
+
+
+def trained(spark, sf_dir):
+    return once(spark, sf_dir, "trained", lambda: training.train_and_evaluate(
+        history(spark, sf_dir), SMALL["trees"], SMALL["depth"], SMALL["min_leaf"], 42, SMALL["max_bins"]
+    ))
+
+
+def scored(spark, sf_dir):
+    return forest.predict(model(spark, sf_dir), features(spark, sf_dir))
+
+
+@query("ml_1_train_forest")
+def train_forest(spark, sf_dir):
+    """Train and validation metrics of the fitted forest."""
+    return metrics.metrics(scored(spark, sf_dir).filter("split <> 'test'"), "predicted_occupancy", by=["split"])
+
+
+@query("ml_2_test_metrics")
+def test_metrics(spark, sf_dir):
+    return metrics.metrics(scored(spark, sf_dir).filter("split = 'test'"), "predicted_occupancy")
+
+
+@query("ml_3_predict", """SELECT station_id, "timestamp", split, TRUE AS in_range, TRUE AS status_matches FROM labelled""")
+def predict(spark, sf_dir):
+    """Every feature row predicted: inside [0, 1], with the status of its unrounded value."""
+    from voltlattice.functions.occupancy import status_band
+
+    p = F.col("predicted_occupancy")
+    return scored(spark, sf_dir).select(
+        "station_id", "timestamp", "split", p.between(0, 1).alias("in_range"),
+        (F.col("predicted_status") == status_band(p)).alias("status_matches"),
+    )
+
+
+@query("ml_4_importances")
+def importances(spark, sf_dir):
+    return forest.importances(model(spark, sf_dir), spark)
+
+
+@query("ml_5_tree_predictions", """SELECT station_id, "timestamp", CAST(8 AS INTEGER) AS n_trees, TRUE AS mean_is_prediction FROM labelled""")
+def tree_predictions(spark, sf_dir):
+    """The mean of the per-tree values is the forest's prediction on every row."""
+    trees = forest.tree_predictions(model(spark, sf_dir), scored(spark, sf_dir))
+    values = F.col("tree_predictions")
+    return trees.select(
+        "station_id", "timestamp", F.size(values).alias("n_trees"),
+        (F.abs(forest.mean_of_trees(values) - F.col("predicted_occupancy")) < 1e-9).alias("mean_is_prediction"),
+    )
+
+
+@query("agg_21_tree_dispersion")
+def tree_dispersion(spark, sf_dir):
+    trees = forest.tree_predictions(model(spark, sf_dir), features(spark, sf_dir).filter("split = 'test'"))
+    return forest.add_tree_dispersion(trees).select("station_id", "timestamp", "tree_dispersion.*")
+
+
+@query("top_10_feature_context")
+def feature_context(spark, sf_dir):
+    items = forest.top_feature_context(model(spark, sf_dir), 5)
+    rows = features(spark, sf_dir).filter("split = 'test'")
+    return rows.select("station_id", "timestamp", F.posexplode(items).alias("position", "item")).select(
+        "station_id", "timestamp", "position", "item.*"
+    )
+
+
+@query("ml_8_ablation")
+def ablation(spark, sf_dir):
+    """Mean change of the prediction per zeroed feature group."""
+    rows = forest.ablation(model(spark, sf_dir), features(spark, sf_dir).filter("split = 'test'"))
+    return rows.groupBy("feature_group").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("baseline").alias("baseline"), F.avg("ablated").alias("ablated"),
+        F.avg("delta").alias("delta"),
+    )
+
+
+@query("jn_12_feature_group_rows", """
+    SELECT g AS feature_group, count(*) AS n_rows FROM labelled,
+      (SELECT unnest(['lag features', 'rolling features', 'calendar', 'cyclical', 'flags', 'temperature']) AS g) WHERE split = 'test' GROUP BY g""")
+def feature_group_rows(spark, sf_dir):
+    rows = forest.ablation(model(spark, sf_dir), features(spark, sf_dir).filter("split = 'test'"))
+    return rows.groupBy("feature_group").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("ml_9_model_comparison")
+def model_comparison(spark, sf_dir):
+    test = forest.baseline_predict(features(spark, sf_dir).filter("split = 'test'")).withColumnRenamed(
+        "predicted_occupancy", "baseline").drop("predicted_status")
+    return metrics.compare_models(forest.predict(model(spark, sf_dir), test), "baseline", "predicted_occupancy")
+
+
+@query("ml_9_baseline_side", f"SELECT {metric_sql(digits=(5, 5, 4))} FROM labelled WHERE split = 'test'")
+def baseline_side(spark, sf_dir):
+    """The baseline half of the comparison, which SQL can state."""
+    compared = model_comparison(spark, sf_dir)
+    return compared.select(*[F.col(f"baseline_{m}").alias(m) for m in ("mae", "rmse", "r2")])
+
+
+def demand_model(spark, sf_dir):
+    return once(spark, sf_dir, "demand", lambda: boosting.SessionDemandModel(
+        fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir), trees=8, depth=5
+    ))
+
+
+@query("ml_6_session_demand")
+def session_demand(spark, sf_dir):
+    """A 24-hour forecast for every station on every day it has sessions."""
+    fitted = demand_model(spark, sf_dir)
+    days = fx.sessions(spark, sf_dir).select("station_id", F.to_date("start_time").alias("date")).distinct()
+    return fitted.predict_day(days)
+
+
+@query("ml_6_session_demand_metrics")
+def session_demand_metrics(spark, sf_dir):
+    return demand_model(spark, sf_dir).evaluate()
+
+
+def wait_model(spark, sf_dir):
+    return once(spark, sf_dir, "wait", lambda: boosting.WaitTimeModel(
+        fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir), rounds=5
+    ))
+
+
+@query("ml_7_wait_model")
+def wait_model_error(spark, sf_dir):
+    return wait_model(spark, sf_dir).evaluate()
+
+
+@query("job_8_estimate_wait")
+def estimate_wait(spark, sf_dir):
+    return waiting.estimate_wait(
+        queues(spark, sf_dir), fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir), wait_model(spark, sf_dir)
+    )
+
+
+@query("job_3_train_and_evaluate")
+def train_and_evaluate(spark, sf_dir):
+    report = trained(spark, sf_dir).report
+    return report.select("dataset.*", "baseline.test_metrics.*", F.col("improvement_over_baseline_pct.mae").alias("mae_gain"),
+                         F.size("error_analysis.by_city").alias("n_cities"), F.size("error_analysis.by_hour_worst5").alias("n_worst"))
+
+
+@query("snk_3_evaluation_report")
+def evaluation_report(spark, sf_dir):
+    path = shared_dir(spark, "report")
+    trained(spark, sf_dir).report.write.json(path)
+    back = spark.read.json(path)
+    return back.select("dataset.featured_rows", "splits.test.rows", F.size("feature_cols").alias("n_features"), "target_col")
+
+
+def saved(spark, sf_dir):
+    result = trained(spark, sf_dir)
+    return files.save_model(result.model, shared_dir(spark, "model"), training.model_metadata(result))
+
+
+@query("snk_4_save_model")
+def save_model(spark, sf_dir):
+    _, metadata = files.load_model(spark, saved(spark, sf_dir))
+    return metadata.select("model_type", "n_estimators", "max_depth", "n_features", "splits.train.rows")
+
+
+@query("src_5_load_model", """SELECT station_id, "timestamp", TRUE AS same FROM labelled WHERE split = 'test'""")
+def load_model(spark, sf_dir):
+    """A reloaded model predicts what the fitted one does."""
+    result = trained(spark, sf_dir)
+    loaded, _ = files.load_model(spark, saved(spark, sf_dir))
+    test = result.features.filter("split = 'test'")
+    first = forest.predict(result.model, test).withColumnRenamed("predicted_occupancy", "first").drop("predicted_status")
+    return forest.predict(loaded, first).select(
+        "station_id", "timestamp", (F.col("first") == F.col("predicted_occupancy")).alias("same")
+    )
+
+
+@query("job_4_score_requests")
+def score_requests(spark, sf_dir):
+    df = serving.score_requests(
+        fx.requests(spark, sf_dir), history(spark, sf_dir), lambda rows: forest.predict(model(spark, sf_dir), rows)
+    )
+    return df.select("request_id", "station_id", "predicted_occupancy", "predicted_status", *serving.context())
+
+
+@query("job_4_score_requests_baseline", """
+    SELECT request_id, station_id, (CAST(printf('%.4f', least(greatest(lag_24h, 0), 1)) AS DOUBLE) + 0.0) AS predicted_occupancy,
+      CASE WHEN lag_24h >= CAST(0.9 AS DOUBLE) THEN 'CRITICAL' WHEN lag_24h >= CAST(0.7 AS DOUBLE) THEN 'BUSY'
+           WHEN lag_24h >= CAST(0.4 AS DOUBLE) THEN 'MODERATE' ELSE 'AVAILABLE' END AS predicted_status
+    FROM checked WHERE error_code IS NULL""")
+def score_requests_baseline(spark, sf_dir):
+    df = serving.score_requests(fx.requests(spark, sf_dir), history(spark, sf_dir))
+    return df.select("request_id", "station_id", "predicted_occupancy", "predicted_status")
+
+
+@query("job_5_explain_requests")
+def explain_requests(spark, sf_dir):
+    df = serving.explain_requests(fx.requests(spark, sf_dir), history(spark, sf_dir), model(spark, sf_dir))
+    path = shared_dir(spark, "explained")
+    df = materialize(df, "explained")
+    files.append_log(files.log_rows(df, "small-forest"), path)
+    logged = files.read_log(spark, path).groupBy("station_id").agg(F.count(F.lit(1)).alias("n_logged"))
+    spread = df.groupBy("station_id").agg(
+        F.count(F.lit(1)).alias("n"), pround(F.avg("tree_dispersion.tree_std"), 4).alias("mean_std"),
+        F.min("tree_dispersion.estimator_count").alias("trees"), F.min(F.size("top_feature_context")).alias("n_top"),
+    )
+    return spread.join(logged, "station_id")

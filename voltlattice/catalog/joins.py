@@ -7,6 +7,7 @@ from voltlattice.functions import occupancy as occ, scoring
 from voltlattice.functions.rounding import pround
 from voltlattice.operators import boosting, dashboard as dash, ranking
 from voltlattice.plans import decision, recommendation
+from voltlattice.session import materialize
 from voltlattice.sources import fixtures as fx
 
 
@@ -98,7 +99,8 @@ ALTERNATIVES = ["request_id", "rank", "station_id", "name", "city", "charger_typ
 
 
 def decided(spark, sf_dir):
-    return decision.decide(fx.requests(spark, sf_dir), fx.stations(spark, sf_dir), fx.hourly(spark, sf_dir))
+    history = materialize(fx.hourly(spark, sf_dir), "history")
+    return decision.decide(fx.requests(spark, sf_dir), fx.stations(spark, sf_dir), history)
 
 
 @query("top_6_alternatives", f"WITH {DECIDED} SELECT {', '.join(ALTERNATIVES)} FROM ordered WHERE rank <= 3")

@@ -19,6 +19,9 @@ def arrival_rate(queue: Column, session_minutes: Column) -> Column:
     return F.greatest(queue / F.greatest(session_minutes, F.lit(1.0)), F.lit(0.01))
 
 
+SATURATED = 1 - 1e-9  # an intensity of 1 may come out a bit lower in binary
+
+
 def mmc_wait(queue: Column, chargers: Column, session_minutes: Column, rate: Column) -> Column:
     """Expected wait in minutes; saturated or empty queues use plain turnover."""
     servers = F.greatest(chargers, F.lit(1))
@@ -27,12 +30,16 @@ def mmc_wait(queue: Column, chargers: Column, session_minutes: Column, rate: Col
     rho = lam / (servers * service)
     waiting = erlang_c(servers, rho) / (servers * service * (1 - rho)) + queue / lam
     return (
-        F.when((rho >= 1.0) | (queue == 0), queue * session_minutes / servers)
+        F.when((rho >= SATURATED) | (queue == 0), queue * session_minutes / servers)
         .otherwise(F.greatest(F.lit(0.0), pround(waiting, 1)))
     )
 
 
 def blend_wait(physics: Column, learned: Column) -> Column:
     """60 % physics and 40 % learned; without a learned value the physics stands alone."""
-    ml = F.coalesce(F.greatest(F.lit(0.0), learned), physics)
-    return pround(0.6 * physics + 0.4 * ml, 1)
+    return pround(0.6 * physics + 0.4 * learned_or_physics(physics, learned), 1)
+
+
+def learned_or_physics(physics: Column, learned: Column) -> Column:
+    """The learned wait, not below zero, or the physics where there is none."""
+    return F.when(learned.isNull(), physics).otherwise(F.greatest(F.lit(0.0), learned))

@@ -24,4 +24,6 @@ def pround(value, digits: int) -> Column:
     part = scaled - whole
     odd = F.pmod(whole, F.lit(2)) == 1
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    return (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
+    rounded = (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
+    # Doubles this large have no such digits; NaN and infinities pass through as well.
+    return F.when(F.abs(scaled) < 4.5e15, rounded).otherwise(x)

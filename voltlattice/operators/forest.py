@@ -30,6 +30,13 @@ def assemble(df: DataFrame, feature_cols=FEATURE_COLS) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for an algorithm that reads its input many times."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
+
+
 def train(df: DataFrame, trees=200, depth=16, min_leaf=10, seed=42, max_bins=128,
           feature_cols=FEATURE_COLS, target=TARGET_COL) -> RandomForestRegressionModel:
     forest = RandomForestRegressor(
@@ -37,7 +44,7 @@ def train(df: DataFrame, trees=200, depth=16, min_leaf=10, seed=42, max_bins=128
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
         featureSubsetStrategy="all", maxBins=max_bins,
     )
-    return forest.fit(assemble(df, feature_cols).select("features", target))
+    return forest.fit(spread(assemble(df, feature_cols).select("features", target)))
 
 
 def predict(model, df: DataFrame, feature_cols=FEATURE_COLS) -> DataFrame:

@@ -6,7 +6,7 @@ from voltlattice.functions.rounding import pround
 from voltlattice.schemas import TARGET_COL
 
 
-def metric_columns(actual: str, predicted: str) -> list[Column]:
+def metric_columns(actual: str, predicted: str, digits=(5, 5, 4)) -> list[Column]:
     """MAE, RMSE and R2 as one mergeable aggregation.
 
     A constant target scores 1 when every prediction is exact, else 0; R2 of a single row is NULL.
@@ -16,24 +16,23 @@ def metric_columns(actual: str, predicted: str) -> list[Column]:
     sst = F.var_pop(actual) * F.count(F.col(actual))
     r2 = F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - sse / sst)
     return [
-        pround(F.avg(F.abs(error)), 5).alias("mae"),
-        pround(F.sqrt(F.avg(error * error)), 5).alias("rmse"),
-        pround(F.when(F.count(F.lit(1)) > 1, r2), 4).alias("r2"),
+        pround(F.avg(F.abs(error)), digits[0]).alias("mae"),
+        pround(F.sqrt(F.avg(error * error)), digits[1]).alias("rmse"),
+        pround(F.when(F.count(F.lit(1)) > 1, r2), digits[2]).alias("r2"),
     ]
 
 
-def metrics(df: DataFrame, predicted: str, actual: str = TARGET_COL, by=()) -> DataFrame:
+def metrics(df: DataFrame, predicted: str, actual: str = TARGET_COL, by=(), digits=(5, 5, 4)) -> DataFrame:
     """Metrics overall or per group; rows without a group key are left out."""
-    return df.dropna(subset=list(by)).groupBy(*by).agg(*metric_columns(actual, predicted)) if by else df.agg(
-        *metric_columns(actual, predicted)
-    )
+    columns = metric_columns(actual, predicted, digits)
+    return df.dropna(subset=list(by)).groupBy(*by).agg(*columns) if by else df.agg(*columns)
 
 
-def error_slices(df: DataFrame, predicted: str, by=("city", "hour", "charger_type")) -> DataFrame:
+def error_slices(df: DataFrame, predicted: str, by=("city", "hour", "charger_type"), digits=(5, 5, 4)) -> DataFrame:
     """Every slice in one pass with grouping sets: (dimension, value, mae, rmse, r2)."""
     keys = [F.col(c) for c in by]
     grouped = df.groupingSets([[k] for k in keys], *keys).agg(
-        *[F.grouping(k).alias(f"_g_{c}") for k, c in zip(keys, by)], *metric_columns(TARGET_COL, predicted)
+        *[F.grouping(k).alias(f"_g_{c}") for k, c in zip(keys, by)], *metric_columns(TARGET_COL, predicted, digits)
     )
     dimension = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, F.lit(c)) for c in by])
     value = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, F.col(c).cast("string")) for c in by])

@@ -3,7 +3,8 @@
 The reroute ranking orders a pool of candidates by (occupancy, distance, id). Three exact
 cuts keep the pairs per request small however large a city is:
 
-1. only candidates whose occupancy rank is at most k+1 in their pool can reach a top-k;
+1. only the lowest occupancy levels, down to the one that completes k+1 candidates, can reach
+   a top-k; levels are counted by aggregation, so no pool is ever sorted in one task;
 2. of candidates at the same spot and level only the k+1 smallest ids can;
 3. a level with many ties is searched through a nested sphere grid, nearest cells first.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voltlattice.functions import geo
 from voltlattice.functions.rounding import pround
+from voltlattice.session import materialize
 
 GRID_LEVELS = range(0, 21)  # cube edges from the whole globe down to about 12 m
 DIRECT_TIES = 64
@@ -54,31 +56,43 @@ def _all_cells(lat, lon):
 
 
 def nearest_ties(targets: DataFrame, ties: DataFrame, k: int, group: list[str]) -> DataFrame:
-    """(request_id, candidate columns) holding at least the k nearest other ties of each target.
+    """Targets paired with candidates that include at least the k nearest other ties of each.
 
-    The finest cell around a target with more than k candidates bounds the distance of the
+    The finest cell around a target with more than k+1 candidates bounds the distance of the
     k-th by its diagonal. The 27 cells two levels up reach at least that far, including the
     width of the distance rounding, so the k nearest are all in them.
     """
-    lat, lon = F.col("latitude"), F.col("longitude")
-    in_cells = ties.withColumn("cell", F.explode(_all_cells(lat, lon)))
+    spot = W.partitionBy(*group, "predicted_occupancy", "latitude", "longitude").orderBy("station_id")
+    ties = ties.withColumn("_s", F.row_number().over(spot)).filter(F.col("_s") <= k + 1).drop("_s")
+    in_cells = ties.withColumn("cell", F.explode(_all_cells(F.col("latitude"), F.col("longitude"))))
     crowded = in_cells.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
-    own = targets.withColumn("cell", F.explode(_all_cells(lat, lon)))
-    level = F.col("cell.level")
-    finest = (
-        own.join(crowded, [*group, "cell"])
-        .groupBy("request_id")
-        .agg(F.max(level).alias("found"))
+    own = targets.select(
+        *group, "request_id", F.explode(_all_cells(F.col("_lat"), F.col("_lon"))).alias("cell")
     )
+    finest = own.join(crowded, [*group, "cell"]).groupBy("request_id").agg(F.max("cell.level").alias("found"))
     start = F.greatest(F.coalesce("found", F.lit(0)) - 2, F.lit(0))
-    searched = targets.join(finest, "request_id", "left").withColumn("search", start)
-    cube = geo.cube_of(geo.sphere_point(lat, lon), _edge(F.col("search")))
-    around = geo.cubes_around(cube, _edge(F.col("search")))
-    cells = F.transform(around, lambda c: F.struct(F.col("search").alias("level"), c.alias("cube")))
-    probes = searched.select(*group, "request_id", F.explode(cells).alias("cell"))
+    searched = targets.join(finest, "request_id", "left").withColumn("search", start).drop("found")
+    edge = _edge(F.col("search"))
+    here = geo.cube_of(geo.sphere_point(F.col("_lat"), F.col("_lon")), edge)
+    cells = F.transform(
+        geo.cubes_around(here, edge), lambda c: F.struct(F.col("search").alias("level"), c.alias("cube"))
+    )
+    probes = searched.withColumn("cell", F.explode(cells)).drop("search")
     return probes.join(in_cells, [*group, "cell"]).drop("cell")
 
 
+def open_levels(members: DataFrame, k: int, group: list[str]) -> DataFrame:
+    """(group, predicted_occupancy, ties) of the levels with at most k candidates below them.
+
+    A pool has at most 10,001 levels because occupancies have 4 digits.
+    """
+    counts = members.groupBy(*group, "predicted_occupancy").agg(F.count(F.lit(1)).alias("ties"))
+    below = W.partitionBy(*group).orderBy("predicted_occupancy").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("_below", F.coalesce(F.sum("ties").over(below), F.lit(0))).filter(
+        F.col("_below") <= k
+    ).drop("_below")
+
+
 def top_alternatives(targets: DataFrame, scored: DataFrame, k: int, condition: list[str],
                      direct_ties: int = DIRECT_TIES) -> DataFrame:
     """The k best alternatives of every target by (occupancy, distance, id), with rank.
@@ -90,42 +104,36 @@ def top_alternatives(targets: DataFrame, scored: DataFrame, k: int, condition: l
     group = ["pool", *condition]
     direct_ties = max(direct_ties, k + 1)
     wanted = targets.select(*group).distinct()
-    members = pool_members(scored.select(*condition, "standard", *ALTERNATIVE)).join(wanted, group, "left_semi")
-    # Cut 2 first: it is per exact spot, so its groups are small and evenly spread.
-    spot = W.partitionBy(*group, "predicted_occupancy", "latitude", "longitude").orderBy("station_id")
-    members = members.withColumn("_s", F.row_number().over(spot)).filter(F.col("_s") <= k + 1).drop("_s")
-    # Cut 1: rank (with gaps) at most k+1; applied before the shuffle as a window group limit.
-    by_level = W.partitionBy(*group).orderBy("predicted_occupancy")
-    kept = members.withColumn("_r", F.rank().over(by_level)).filter(F.col("_r") <= k + 1)
-    levels = kept.groupBy(*group, "predicted_occupancy").agg(F.count(F.lit(1)).alias("_n"))
-    kept = kept.drop("_r").join(levels, [*group, "predicted_occupancy"])
-    few, many = kept.filter(F.col("_n") <= direct_ties).drop("_n"), kept.filter(F.col("_n") > direct_ties).drop("_n")
-
+    members = pool_members(scored.select(*condition, "standard", *ALTERNATIVE)).drop("standard").join(
+        wanted, group, "left_semi"
+    )
+    levels = materialize(open_levels(members, k, group), "levels")
+    kept = members.join(levels, [*group, "predicted_occupancy"])
     asked = targets.select(
-        *group, "request_id", F.col("station_id").alias("_self"), "latitude", "longitude", "target_occupancy",
+        *group, "request_id", F.col("station_id").alias("_self"), F.col("latitude").alias("_lat"),
+        F.col("longitude").alias("_lon"), "target_occupancy",
         *[c for c in ("max_alternatives",) if c in targets.columns],
     )
-    near = nearest_ties(asked.select(*group, "request_id", "latitude", "longitude"), many, k, group)
-    columns = ["request_id", *ALTERNATIVE]
-    direct = asked.select(*group, "request_id").join(few, group).select(*columns)
-    pairs = direct.unionByName(near.select(*columns))
+    pairs = asked.join(kept.filter(F.col("ties") <= direct_ties).drop("ties"), group)
+    if not levels.filter(F.col("ties") > direct_ties).isEmpty():
+        many = kept.filter(F.col("ties") > direct_ties).drop("ties")
+        pairs = pairs.unionByName(nearest_ties(asked, many, k, group))
 
-    origin = asked.drop(*group).withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
-    ranked = pairs.join(origin, "request_id").filter(F.col("station_id") != F.col("_self"))
     km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
-    ranked = ranked.withColumn("distance_km", pround(km, 2))
     order = W.partitionBy("request_id").orderBy("predicted_occupancy", "distance_km", "station_id")
-    limit = F.coalesce("max_alternatives", F.lit(3)) if "max_alternatives" in ranked.columns else F.lit(k)
+    limit = F.coalesce("max_alternatives", F.lit(3)) if "max_alternatives" in asked.columns else F.lit(k)
     occ, target = F.col("predicted_occupancy"), F.col("target_occupancy")
     return (
-        ranked.withColumn("rank", F.row_number().over(order))
+        pairs.filter(F.col("station_id") != F.col("_self"))
+        .withColumn("distance_km", pround(km, 2))
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .filter(F.col("rank") <= limit)
         .withColumns({
             "occupancy_delta": pround(occ - target, 4),
             "occupancy_improvement": pround(target - occ, 4),
         })
-        .drop("_self", "_lat", "_lon", "max_alternatives")
+        .drop(*group, "_self", "_lat", "_lon", "max_alternatives")
     )
 
 

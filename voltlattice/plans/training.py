@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from voltlattice.functions import calendar as cal
 from voltlattice.operators import forest, metrics, quality, windows
 from voltlattice.schemas import FEATURE_COLS, TARGET_COL
+from voltlattice.session import materialize
 
 
 def calendar_columns(df: DataFrame) -> DataFrame:
@@ -44,7 +45,9 @@ class TrainingResult:
 def train_and_evaluate(hourly: DataFrame, trees=200, depth=16, min_leaf=10, seed=42, max_bins=128) -> TrainingResult:
     """Features, 70/15/15 split by time, forest, metrics against the lag-24h baseline, report."""
     spark = hourly.sparkSession
-    features = windows.split_label(build_training_features(hourly), train=0.70, val=0.15, test=0.15).persist()
+    features = materialize(
+        windows.split_label(build_training_features(hourly), train=0.70, val=0.15, test=0.15), "features"
+    )
     if not quality.splits_disjoint(features).first()["disjoint"]:
         raise ValueError("the time ranges of the splits overlap")
     model = forest.train(features.filter("split = 'train'"), trees, depth, min_leaf, seed, max_bins)

@@ -29,7 +29,7 @@ def estimate_wait(queues: DataFrame, sessions: DataFrame, stations: DataFrame, m
     """Physics, learned and blended wait per queue; without a model or an hour physics stands alone."""
     physics = physics_wait(queue_inputs(queues, sessions, stations))
     scored = model.predict(physics) if model is not None else physics.withColumn("ml_wait", F.lit(None).cast("double"))
-    learned = F.coalesce(F.greatest(F.lit(0.0), "ml_wait"), F.col("physics_wait"))
+    learned = queueing.learned_or_physics(F.col("physics_wait"), F.col("ml_wait"))
     return scored.select(
         *[c for c in queues.columns if c not in ("is_weekend",)],
         pround("physics_wait", 1).alias("physics_estimate_mins"),

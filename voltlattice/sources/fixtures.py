@@ -11,6 +11,7 @@ from voltlattice.functions import calendar as cal, occupancy as occ
 from voltlattice.functions.rounding import pround
 from voltlattice.functions.scoring import VEHICLE_CHARGERS
 from voltlattice.operators import spine
+from voltlattice.schemas import STAR
 
 CHARGERS = list(occ.SESSION_HOURS)
 POWER_KW = [7.4, 22.0, 50.0, 150.0, 50.0]
@@ -25,7 +26,7 @@ CITY_DEMAND = {"NATION_0": 1.15, "NATION_1": 1.10, "NATION_2": 1.05, "NATION_3":
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(STAR[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(options, index):

@@ -26,11 +26,12 @@ def latest_status(status: DataFrame) -> DataFrame:
 
 def hourly_counts(sessions: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Sessions started per station and hour, closed by a watermark."""
+    timed = sessions.withColumn("start_time", F.col("start_time").cast("timestamp"))  # watermarks need a zone
     return (
-        sessions.withWatermark("start_time", delay)
+        timed.withWatermark("start_time", delay)
         .groupBy("station_id", F.window("start_time", "1 hour").alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("station_id", F.col("w.start").alias("hour"), "n")
+        .select("station_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
     )
 
 
