@@ -35,6 +35,11 @@ def section_title(section: Column) -> Column:
     return F.when(section.startswith("#"), title).otherwise(F.lit("General"))
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; a lambda would recompute a plain expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Overlapping windows of ``size`` characters every ``size - overlap``, in linear time.
 
@@ -43,14 +48,16 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     if step < 1:
         raise ValueError("overlap must be smaller than the chunk size")
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     reach = -(-overlap // step)
 
-    def window(piece, i):
-        tail = [F.coalesce(F.get(pieces, i + 1 + n), F.lit("")) for n in range(reach)]
-        return F.substring(F.concat(piece, *tail), 1, size)
+    def joined(pieces):
+        def window(piece, i):
+            tail = [F.coalesce(F.get(pieces, i + 1 + n), F.lit("")) for n in range(reach)]
+            return F.substring(F.concat(piece, *tail), 1, size)
+
+        return F.transform(pieces, window)
 
-    return F.transform(pieces, window)
+    return bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), joined)
 
 
 def l2_normalize(vector: Column) -> Column:

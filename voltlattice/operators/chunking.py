@@ -17,12 +17,12 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
         stripped = F.filter(F.transform(pieces, tx.strip), lambda p: p != "")
         return F.transform(stripped, lambda p: F.struct(title.alias("section_title"), p.alias("text")))
 
-    def of_section(section):
-        body = tx.strip(section)
+    def of_section(body):
         pieces = F.when(F.length(body) <= size, F.array(body)).otherwise(tx.windows(body, size, overlap))
-        return titled(tx.section_title(body), pieces)
+        return tx.bind(tx.section_title(body), lambda title: titled(title, pieces))
 
-    markdown = F.flatten(F.transform(tx.sections(F.col("content")), of_section))
+    bodies = F.filter(F.transform(tx.sections(F.col("content")), tx.strip), lambda b: b != "")
+    markdown = F.flatten(F.transform(bodies, of_section))
     fixed = titled(F.lit(None).cast("string"), tx.windows(F.col("content"), size, overlap))
     pieces = F.when(F.col("type") == "markdown_doc", markdown).otherwise(fixed)
     numbered = docs.select("source", "type", F.posexplode(pieces).alias("pos", "piece"))

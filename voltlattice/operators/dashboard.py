@@ -45,21 +45,20 @@ def network_kpis(status: DataFrame) -> DataFrame:
 
 def dataset_summary(stations: DataFrame, sessions: DataFrame, status: DataFrame) -> DataFrame:
     evening = F.when(F.col("hour").between(*EVENING), F.col("wait_time_mins"))
-    places = stations.agg(
+    places = stations.agg(F.struct(
         F.count(F.lit(1)).alias("n_stations"),
         F.countDistinct("city").alias("n_cities"),
         F.countDistinct("operator").alias("n_operators"),
-    )
+    ).alias("p")).scalar()
     use = sessions.agg(
         F.count(F.lit(1)).alias("n_sessions"),
         F.avg("wait_time_mins").alias("avg_wait"),
         F.avg(evening).alias("evening_wait"),
         F.sum("revenue_inr").alias("revenue"),
         F.avg("energy_kwh").alias("avg_kwh"),
-    ).withColumn("one", F.lit(1))
+    )
     now = status.agg(F.avg("utilization_pct").alias("u")).scalar()
-    # Two one-row results meet on a constant key.
-    return places.withColumn("one", F.lit(1)).join(use, "one").drop("one").withColumn("avg_util", now)
+    return use.withColumns({"_p": places, "avg_util": now}).select("_p.*", *use.columns, "avg_util")
 
 
 def hourly_sessions(sessions: DataFrame) -> DataFrame:

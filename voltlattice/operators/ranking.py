@@ -20,7 +20,7 @@ from voltlattice.session import materialize
 GRID_LEVELS = range(0, 21)  # cube edges from the whole globe down to about 12 m
 DIRECT_TIES = 64
 ANY_STANDARD = "*"
-ALTERNATIVE = ["station_id", "name", "city", "charger_type", "latitude", "longitude", "predicted_occupancy", "status"]
+ALTERNATIVE = ["station_id", "city", "latitude", "longitude", "predicted_occupancy", "status"]
 
 
 def pools(stations: DataFrame) -> DataFrame:

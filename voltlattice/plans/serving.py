@@ -12,7 +12,11 @@ from voltlattice.schemas import KEY_FEATURES
 
 def features_at(points: DataFrame, history: DataFrame) -> DataFrame:
     """Features and ``error_code`` for rows (station_id, ts, temperature_c, is_holiday)."""
-    looked_up = hist.attach_history(points, history)
+    return complete_features(hist.attach_history(points, history))
+
+
+def complete_features(looked_up: DataFrame) -> DataFrame:
+    """Calendar features, flags and ``error_code`` beside features from history."""
     return looked_up.withColumns({
         **hist.calendar_features(F.col("ts")),
         "is_holiday": F.coalesce(cal.flag(F.col("is_holiday")), F.lit(0)),
