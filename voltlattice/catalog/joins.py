@@ -165,9 +165,10 @@ def valid_candidates(spark, sf_dir):
     places = decision.with_standard(fx.stations(spark, sf_dir)).select(
         "station_id", "name", "city", "standard", "charger_type", "latitude", "longitude"
     )
-    built = serving.valid(serving.build_request_features(fx.requests(spark, sf_dir), fx.hourly(spark, sf_dir)))
+    history = materialize(fx.hourly(spark, sf_dir), "history")
+    built = serving.valid(serving.build_request_features(fx.requests(spark, sf_dir), history))
     conditions = built.join(places.select("station_id", "city"), "station_id").select("city", *decision.CONDITION).distinct()
-    scored = decision.score_candidates(conditions, places, fx.hourly(spark, sf_dir), baseline_predict)
+    scored = decision.score_candidates(materialize(conditions, "conditions"), places, history, baseline_predict)
     return scored.groupBy("city", *decision.CONDITION).agg(F.count(F.lit(1)).alias("n_valid"))
 
 

@@ -61,17 +61,21 @@ def attach_history(requests: DataFrame, history: DataFrame) -> DataFrame:
         .join(known, "station_id", "left")
     )
     w24, w6 = F.col("_w24"), F.slice("_w24", 19, 6)
-    return looked_up.withColumns({
+    means = looked_up.withColumns({
         "known_station": F.coalesce("known_station", F.lit(False)),
-        "lag_1h": F.get(w24, F.lit(23)),
-        "lag_24h": F.get(w24, F.lit(0)),
-        "lag_168h": F.get("week_ago", F.hour("ts")),
         "rolling_mean_6h": mean_of(w6, 6),
         "rolling_mean_24h": mean_of(w24, 24),
-    }).withColumn(
-        # The mean is a column by now, so the lambda does not recompute it per value.
-        "rolling_std_24h", sample_std_of(w24, F.col("rolling_mean_24h"), 24)
-    ).drop("day", "today", "yesterday", "week_ago", "_w24")
+    })
+    # The mean is a column by now, so the lambda does not recompute it per value. The generator
+    # keeps later filters on the features above it; pushed below, they would evaluate them again.
+    features = F.struct(
+        F.get(w24, F.lit(23)).alias("lag_1h"),
+        F.get(w24, F.lit(0)).alias("lag_24h"),
+        F.get("week_ago", F.hour("ts")).alias("lag_168h"),
+        "rolling_mean_6h", "rolling_mean_24h",
+        sample_std_of(w24, F.col("rolling_mean_24h"), 24).alias("rolling_std_24h"),
+    )
+    return means.select(*requests.columns, "known_station", F.inline(F.array(features)))
 
 
 def calendar_features(ts: Column) -> dict[str, Column]:
