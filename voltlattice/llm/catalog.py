@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltlattice.llm import exact_dedup, language_id, quality_rank
-from voltlattice.llm.common import crc_fold, fresh, prepare, read_table
+from voltlattice.llm import exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality_rank
+from voltlattice.llm.common import crc_fold, prepare, read_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -20,6 +21,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_minhash_dedup")
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 @query("op7_exact_dedup", r"""
     WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
     SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
