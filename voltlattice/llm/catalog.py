@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltlattice.llm import exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality_rank
-from voltlattice.llm.common import crc_fold, prepare, read_table
+from voltlattice.llm import exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality_rank, token_files, warc
+from voltlattice.llm.common import crc_fold, prepare, read_table, shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, kind = shared_dir(spark, "token-files"), token_files.id_kind(49408)
+    token_files.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 1, kind)
+    return token_files.read(spark, folder, kind).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+    d AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+    FROM d""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, archives = shared_dir(spark, "arc"), shared_dir(spark, "warc")
+    names = warc.write_arc(read_table(spark, sf_dir, "pages"), arc)
+    back = warc.read_archives(warc.convert(names, arc, archives), archives)
+    return back.select(F.col("key").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").try_cast("long").alias("refers_to"))
+
+
 @query("op6_minhash_dedup")
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
