@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltlattice.llm import exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality_rank, token_files, warc
+from voltlattice.llm import exact_dedup, fingerprints, language_id, line_dedup, minhash_dedup, packing, quality_rank, token_files, warc
 from voltlattice.llm.common import crc_fold, prepare, read_table, shared_dir
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, kind).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_warc", """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
     d AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
