@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltlattice.llm import exact_dedup, fingerprints, language_id, line_dedup, minhash_dedup, packing, quality_rank, token_files, warc
-from voltlattice.llm.common import crc_fold, prepare, read_table, shared_dir
+from voltlattice.llm import exact_dedup, fingerprints, language_id, line_dedup, minhash_dedup, packing, piece_sampling, quality_rank, token_files, warc
+from voltlattice.llm.common import crc_fold, prepare, read_table, shared_dir, text_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,6 +82,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+@query("op9_piece_sampling")
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text and what they decode to: the digest of the text itself."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = read_table(spark, sf_dir, "documents").select("doc_id", piece_sampling.encode_column(path, "doc_id", text_of()).alias("ids"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+                        F.sha2(piece_sampling.decode_column(path, "ids"), 256).alias("decoded_sha256"))
+
+
 @query("op10_quality_rank")
 def op10_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
