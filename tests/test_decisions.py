@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltlattice import schemas
+from voltlattice.functions import geo
 from voltlattice.operators import ranking
 from voltlattice.plans import decision, recommendation
 
@@ -64,7 +65,9 @@ def test_alternatives_match_brute_force(spark, direct_ties, levels, spots):
 
 
 def test_search_cells_reach_far_enough():
-    assert all(ranking.search_margin_ok(n) for n in ranking.GRID_LEVELS)
+    for level in ranking.GRID_LEVELS:
+        edge, reach = 2.0 / 2**level, 2.0 / 2 ** max(level - 2, 0)
+        assert level == 0 or reach >= math.sqrt(3) * edge + 0.01 / geo.EARTH_KM
 
 
 def make_history(spark, occupancy):

@@ -64,6 +64,20 @@ def hourly_bucketing(spark, sf_dir):
     )
 
 
+@query("src_0_irregular_sessions", """
+    WITH s AS (SELECT station_id, start_time, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 17 = 1 THEN start_time - INTERVAL 2 HOUR
+        ELSE end_time END AS end_time FROM session_core),
+      a AS (SELECT station_id, unnest(generate_series(date_trunc('hour', start_time), greatest(date_trunc('hour', start_time),
+        least(coalesce(date_trunc('hour', end_time), date_trunc('hour', start_time)), (SELECT hi FROM covered))), INTERVAL 1 HOUR)) AS ts FROM s)
+    SELECT p.station_id, p.ts AS "timestamp", count(a.ts) AS demand
+    FROM spine p LEFT JOIN a ON a.station_id = p.station_id AND a.ts = p.ts GROUP BY ALL""")
+def irregular_sessions(spark, sf_dir):
+    """Hourly demand where some sessions have no end and some end before they start."""
+    number, start = F.substring("session_id", 4, 9).cast("long") % 17, F.col("start_time")
+    end = F.when(number == 0, None).when(number == 1, start - F.expr("INTERVAL 2 HOUR")).otherwise(F.col("end_time"))
+    return spine.demand_per_hour(fx.sessions(spark, sf_dir).withColumn("end_time", end), fx.stations(spark, sf_dir))
+
+
 @query("win_1_lags", """
     SELECT station_id, "timestamp", lag(occupancy_rate, 1) OVER w AS lag_1h, lag(occupancy_rate, 24) OVER w AS lag_24h,
       lag(occupancy_rate, 168) OVER w AS lag_168h FROM hourly WINDOW w AS (PARTITION BY station_id ORDER BY "timestamp")""")

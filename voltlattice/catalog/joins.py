@@ -139,6 +139,21 @@ def decide(spark, sf_dir):
     )
 
 
+_UNKNOWN = "station_id NOT IN (SELECT station_id FROM stations)"
+
+
+@query("job_6_rejected", f"""
+    SELECT * FROM (SELECT request_id, station_id,
+        CASE WHEN {_UNKNOWN} THEN 'unknown_station' WHEN NOT temperature_c BETWEEN -20 AND 60 THEN 'invalid_temperature_c'
+          WHEN NOT request_id % 12 BETWEEN 1 AND 10 THEN 'invalid_max_alternatives' ELSE error_code END AS error_code,
+        CAST(CASE WHEN {_UNKNOWN} THEN 404 ELSE 422 END AS INTEGER) AS error_status FROM checked)
+    WHERE error_code IS NOT NULL""")
+def rejected_decisions(spark, sf_dir):
+    """Requests that get no decision; 0 and 11 alternatives are rejected and not cut."""
+    asked = fx.requests(spark, sf_dir).withColumn("max_alternatives", (F.col("request_id") % 12).cast("int"))
+    return decision.rejected_requests(asked, fx.stations(spark, sf_dir), materialize(fx.hourly(spark, sf_dir), "history"))
+
+
 @query("fn_7_decision_policy", f"""
     WITH {DECIDED}
     SELECT CASE WHEN occ < {d(0.7)} THEN 'STAY' WHEN {_BETTER} THEN 'REROUTE' ELSE 'NO_BETTER_ALTERNATIVE' END AS recommendation, count(*) AS n

@@ -62,5 +62,5 @@ def windows(text: Column, size: int, overlap: int) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    norm = F.sqrt(squares)
-    return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1e-12)).otherwise(norm))
+    norm = F.when(squares == 0, F.lit(1e-12)).otherwise(F.sqrt(squares))
+    return bind(norm, lambda n: F.transform(vector, lambda x: x.cast("double") / n))

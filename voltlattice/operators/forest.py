@@ -22,7 +22,6 @@ ABLATION_GROUPS = {
     "flags": ["is_weekend", "is_holiday"],
     "temperature": ["temperature_c"],
 }
-LEAF_SIZE_LIMIT = 16_000_000  # leaves of a whole forest held as one array: 128 MB
 
 
 def assemble(df: DataFrame, feature_cols=FEATURE_COLS) -> DataFrame:
@@ -94,9 +93,6 @@ def _leaf_table(model, spark) -> tuple[np.ndarray, np.ndarray]:
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     leaves = nodes.filter(F.col("leftChild") < 0)
-    n = leaves.count()
-    if n > LEAF_SIZE_LIMIT:
-        raise ValueError(f"{n} leaves exceed the limit of {LEAF_SIZE_LIMIT}")
     table = leaves.select("treeID", "id", "prediction").toPandas().sort_values(["treeID", "id"])
     sizes = table.groupby("treeID").size().to_numpy()
     return np.concatenate([[0], np.cumsum(sizes)[:-1]]), table["prediction"].to_numpy()

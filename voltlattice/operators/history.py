@@ -1,8 +1,9 @@
 """Exact-time history lookups for requests, without a range join.
 
-History is packed into one array of 24 values per station and day (partial aggregation
-before the shuffle), each day is handed to the three days that look back at it, and a
-request then needs one equi-join on (station, day) for all 25 values it looks up.
+The requests say which days of which stations they look back at. Only those days of the
+history are packed, into one array of 24 values per station and day (partial aggregation
+before the shuffle), and a request then needs one equi-join on (station, day) for all 25
+values it looks up. Streams join history that was packed once into a table by day.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,15 +20,33 @@ def pack_days(history: DataFrame, value: str = "occupancy_rate") -> DataFrame:
     return history.groupBy("station_id", F.to_date("timestamp").alias("day")).agg(F.array(*by_hour).alias("v"))
 
 
-def lookback_days(packed: DataFrame) -> DataFrame:
-    """(station_id, day, today, yesterday, week_ago) for every day that can look back."""
+def lookback_needs(days: DataFrame) -> DataFrame:
+    """(station_id, day, back, source_day): the days of history that (station_id, day) rows look back at."""
     offsets = F.array(*[F.lit(n) for n in LOOKBACK_DAYS.values()])
-    spread = packed.withColumn("back", F.explode(offsets)).withColumn("day", F.date_add("day", F.col("back")))
+    asked = days.select("station_id", "day").filter("station_id IS NOT NULL AND day IS NOT NULL").distinct()
+    return asked.withColumn("back", F.explode(offsets)).withColumn("source_day", F.date_sub("day", F.col("back")))
+
+
+def needed_history(history: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows of history on the days needed; a table partitioned by day is pruned to them."""
+    asked = needs.select("station_id", F.col("source_day").alias("_day")).distinct()
+    match = (history["station_id"] == asked["station_id"]) & (F.to_date(history["timestamp"]) == asked["_day"])
+    return history.join(asked, match, "left_semi")
+
+
+def lookback_days(packed: DataFrame, needs: DataFrame) -> DataFrame:
+    """(station_id, day, today, yesterday, week_ago) for every day asked for."""
     picks = [
         F.first(F.when(F.col("back") == n, F.col("v")), ignorenulls=True).alias(name)
         for name, n in LOOKBACK_DAYS.items()
     ]
-    return spread.groupBy("station_id", "day").agg(*picks)
+    source = packed.withColumnRenamed("day", "source_day")
+    return needs.join(source, ["station_id", "source_day"]).groupBy("station_id", "day").agg(*picks)
+
+
+def write_packed(history: DataFrame, path: str) -> None:
+    """Pack a whole history once into a table partitioned by day, for streams to join."""
+    pack_days(history).write.partitionBy("day").parquet(path)
 
 
 def preceding_24h(ts: Column) -> Column:
@@ -45,18 +64,22 @@ def sample_std_of(values: Column, mean: Column, n: int) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1))
 
 
-def attach_history(requests: DataFrame, history: DataFrame) -> DataFrame:
+def attach_history(requests: DataFrame, history: DataFrame, stations: DataFrame | None = None,
+                   packed: DataFrame | None = None) -> DataFrame:
     """Add the lag and rolling features at ``ts`` and ``known_station``.
 
     A missing observation gives NULL in every feature that needs it, never a near value;
-    a time off the hour finds nothing.
+    a time off the hour finds nothing. Known are the ``stations`` given, else those with
+    history. ``packed`` is history as ``write_packed`` leaves it and replaces packing it here.
     """
     whole_hour = F.when(F.col("ts") == cal.hour_of(F.col("ts")), F.to_date("ts"))
-    packed = pack_days(history)
-    known = packed.select("station_id").distinct().withColumn("known_station", F.lit(True))
+    dated = requests.withColumn("day", whole_hour)
+    needs = lookback_needs(dated)
+    days = packed if packed is not None else pack_days(needed_history(history, needs))
+    places = stations if stations is not None else history
+    known = places.select("station_id").distinct().withColumn("known_station", F.lit(True))
     looked_up = (
-        requests.withColumn("day", whole_hour)
-        .join(lookback_days(packed), ["station_id", "day"], "left")
+        dated.join(lookback_days(days, needs), ["station_id", "day"], "left")
         .withColumn("_w24", preceding_24h(F.col("ts")))
         .join(known, "station_id", "left")
     )

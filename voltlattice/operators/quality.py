@@ -15,6 +15,7 @@ FEATURE_RANGES = {
 }
 LAG_FEATURES = ["lag_1h", "lag_24h", "lag_168h"]
 MAX_BATCH = 500
+MAX_ALTERNATIVES = 10
 # Client-facing code of each request error.
 ERROR_STATUS = {"unknown_station": 404}
 DEFAULT_ERROR_STATUS = 422
@@ -103,7 +104,7 @@ def decision_rules() -> dict[str, Column]:
     """Decision requests: temperature -20 to 60 and 1-10 alternatives, NULL meaning 3."""
     return {
         "temperature_c": F.col("temperature_c").between(-20.0, 60.0),
-        "max_alternatives": F.coalesce(F.col("max_alternatives"), F.lit(3)).between(1, 10),
+        "max_alternatives": F.coalesce(F.col("max_alternatives"), F.lit(3)).between(1, MAX_ALTERNATIVES),
     }
 
 

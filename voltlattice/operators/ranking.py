@@ -9,8 +9,6 @@ cuts keep the pairs per request small however large a city is:
 3. a level with many ties is searched through a nested sphere grid, nearest cells first.
 """
 
-import math
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voltlattice.functions import geo
@@ -114,10 +112,8 @@ def top_alternatives(targets: DataFrame, scored: DataFrame, k: int, condition: l
         F.col("longitude").alias("_lon"), "target_occupancy",
         *[c for c in ("max_alternatives",) if c in targets.columns],
     )
-    pairs = asked.join(kept.filter(F.col("ties") <= direct_ties).drop("ties"), group)
-    if not levels.filter(F.col("ties") > direct_ties).isEmpty():
-        many = kept.filter(F.col("ties") > direct_ties).drop("ties")
-        pairs = pairs.unionByName(nearest_ties(asked, many, k, group))
+    few = asked.join(kept.filter(F.col("ties") <= direct_ties).drop("ties"), group)
+    pairs = few.unionByName(nearest_ties(asked, kept.filter(F.col("ties") > direct_ties).drop("ties"), k, group))
 
     km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
     order = W.partitionBy("request_id").orderBy("predicted_occupancy", "distance_km", "station_id")
@@ -141,23 +137,16 @@ def within_radius(users: DataFrame, places: DataFrame, radius_km: float) -> Data
     """User x place pairs within the radius: one grid-cell equi-join, then the exact distance.
 
     ``users`` carry user_lat and user_lon; ``places`` latitude and longitude. The small fan-out
-    (the cells around a point) is on the user row, so places are shuffled once.
+    (the cells around a point) is on the places, the dimension, so each user is one row of the join.
     """
     edge = geo.chord(radius_km) * (1 + 1e-9)
     here = geo.cube_of(geo.sphere_point(F.col("user_lat"), F.col("user_lon")), F.lit(edge))
-    asked = users.withColumn("_cell", F.explode(geo.cubes_around(here, edge)))
-    there = places.withColumn("_cell", geo.cube_of(geo.sphere_point(F.col("latitude"), F.col("longitude")), F.lit(edge)))
+    there = geo.cube_of(geo.sphere_point(F.col("latitude"), F.col("longitude")), F.lit(edge))
+    asked = users.withColumn("_cell", here)
+    around = places.withColumn("_cell", F.explode(geo.cubes_around(there, edge)))
     km = geo.haversine_km(F.col("user_lat"), F.col("user_lon"), F.col("latitude"), F.col("longitude"))
     return (
-        asked.join(there, "_cell").drop("_cell")
+        asked.join(around, "_cell").drop("_cell")
         .withColumn("distance_km", km)
         .filter(F.col("distance_km") <= radius_km)
     )
-
-
-def search_margin_ok(level: int) -> bool:
-    """Do the 27 cells two levels up out-reach the diagonal plus the rounding width?"""
-    edge = 2.0 / 2**level
-    reach = 2.0 / 2 ** max(level - 2, 0)
-    rounding = 0.01 / geo.EARTH_KM
-    return level == 0 or reach >= math.sqrt(3) * edge + rounding

@@ -21,10 +21,22 @@ def hours_covered(sessions: DataFrame) -> tuple[Column, Column]:
 
 
 def active_hours(sessions: DataFrame, end: Column) -> DataFrame:
-    """One row per hour a session occupies a slot, no later than ``end``."""
-    last = F.least(cal.hour_of(F.col("end_time")), end)
-    hours = F.sequence(cal.hour_of(F.col("start_time")), last, F.expr("interval 1 hour"))
-    return sessions.select("station_id", F.explode(hours).alias("timestamp"))
+    """One row per hour a session occupies a slot, no later than ``end``.
+
+    A session without an end, or with one before its start, counts in the hour it starts.
+    """
+    first = cal.hour_of(F.col("start_time"))
+    last = F.greatest(first, F.least(F.coalesce(cal.hour_of(F.col("end_time")), first), end))
+    hours = F.sequence(first, last, F.expr("interval 1 hour"))
+    return sessions.filter(first <= end).select("station_id", F.explode(hours).alias("timestamp"))
+
+
+def irregular_sessions(sessions: DataFrame) -> DataFrame:
+    """One row: sessions without an end, and sessions that end before they start."""
+    return sessions.agg(
+        F.count_if(F.col("end_time").isNull()).alias("open_sessions"),
+        F.count_if(F.col("end_time") < F.col("start_time")).alias("reversed_sessions"),
+    )
 
 
 def demand_per_hour(sessions: DataFrame, stations: DataFrame) -> DataFrame:

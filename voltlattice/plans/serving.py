@@ -10,9 +10,10 @@ from voltlattice.operators import forest, history as hist, quality
 from voltlattice.schemas import KEY_FEATURES
 
 
-def features_at(points: DataFrame, history: DataFrame) -> DataFrame:
+def features_at(points: DataFrame, history: DataFrame, stations: DataFrame | None = None,
+                packed: DataFrame | None = None) -> DataFrame:
     """Features and ``error_code`` for rows (station_id, ts, temperature_c, is_holiday)."""
-    return complete_features(hist.attach_history(points, history))
+    return complete_features(hist.attach_history(points, history, stations, packed))
 
 
 def complete_features(looked_up: DataFrame) -> DataFrame:
@@ -24,10 +25,11 @@ def complete_features(looked_up: DataFrame) -> DataFrame:
     })
 
 
-def build_request_features(requests: DataFrame, history: DataFrame) -> DataFrame:
+def build_request_features(requests: DataFrame, history: DataFrame, stations: DataFrame | None = None,
+                           packed: DataFrame | None = None) -> DataFrame:
     """Every request with its features, or with the first error that applies."""
     timed = requests.withColumn("ts", cal.parse_naive(F.col("prediction_time")))
-    return features_at(timed, history).withColumn("error_status", quality.error_status(F.col("error_code")))
+    return features_at(timed, history, stations, packed).withColumn("error_status", quality.error_status(F.col("error_code")))
 
 
 def valid(built: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Session settings the library expects, and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="voltlattice-")
         spark.sparkContext.setCheckpointDir(root)

@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from voltlattice.operators import forest, spine
+from voltlattice.operators import forest, history as hist, spine
 from voltlattice.plans import serving
+from voltlattice.session import materialize, shared_dir
 from voltlattice.sources import files
 
 
@@ -47,11 +48,18 @@ def score_and_log(requests: DataFrame, history: DataFrame, log_path: str, checkp
                   predict: Callable[[DataFrame], DataFrame] = forest.baseline_predict, model_version="baseline"):
     """Score each micro-batch of requests against history and add it to the log.
 
+    The history is packed once, by day; a batch reads only the days that its requests look back at.
     Each batch writes its own folder by overwrite, so a batch that is replayed after a failure
     replaces its rows instead of doubling them.
     """
+    spark = history.sparkSession
+    path = shared_dir(spark, "packed-history")
+    hist.write_packed(history, path)
+    packed = spark.read.parquet(path)
+    stations = materialize(packed.select("station_id").distinct(), "known-stations")
+
     def write(batch: DataFrame, number: int):
-        scored = predict(serving.valid(serving.build_request_features(batch, history)))
+        scored = predict(serving.valid(serving.build_request_features(batch, history, stations, packed)))
         files.log_rows(scored, model_version, "stream").write.mode("overwrite").json(f"{log_path}/batch={number}")
 
     return (
