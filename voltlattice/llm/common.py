@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltlattice.session import apply_recommended, materialize, shared_dir
 
-__all__ = ["crc_fold", "fresh", "materialize", "partitions", "prepare", "read_table", "shared_dir", "text_of"]
+__all__ = ["Bitmap", "crc_fold", "fresh", "materialize", "partitions", "prepare", "read_table", "shared_dir", "text_of"]
 
 #: Rows of one Arrow batch: bounds the memory of a Python worker when texts are very long.
 BATCH_ROWS = 256
@@ -43,3 +45,31 @@ def crc_fold(key: str | Column, folds: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Bitmap:
+    """A filter of fixed size for the values of a column: no row with one of them is dropped.
+
+    It has ``2 ** BITS`` bits (4 MB), whatever the number of values: more of them let more other rows pass,
+    which costs work and changes no result. Its words are combined by Spark before they are collected.
+    """
+
+    BITS = 25
+
+    def __init__(self, df: DataFrame, column: str):
+        bit = F.pmod(F.xxhash64(column), F.lit(2**self.BITS))
+        words = (df.select(bit.alias("bit")).selectExpr("bit div 64 AS word", "shiftleft(1L, int(bit % 64)) AS bits")
+                 .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
+        self._words = np.zeros(2 ** (self.BITS - 6), np.int64)
+        self._words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        self._shared = df.sparkSession.sparkContext.broadcast(self._words)
+
+    def column(self, column: str | Column) -> Column:
+        shared, size = self._shared, 2**self.BITS
+
+        @F.pandas_udf("boolean")
+        def told(hashes: pd.Series) -> pd.Series:
+            bit = hashes.to_numpy(np.int64) % size
+            return pd.Series((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1)
+
+        return told(F.xxhash64(column))

@@ -10,13 +10,18 @@ hash of either collection is the key of a table, so that HALF**2 tables of two-h
 below 2 * (1 - s)**HALF: with HALF = 6 that is 2.3e-5 at s = 0.85 and 1.3e-4 at s = 0.8.
 
 1. Equal sets are one class, found by their size and a 128-bit digest. Only one member goes on.
-2. Classes that share no table with another are settled. The others' sets are built once from their
-   texts and sent to the buckets of the first collection's hashes in which they share a table.
-3. A bucket is cut into blocks of ``BLOCK`` sets, and each pair of blocks is a task of its own, so
-   no bucket meets in one task. There, pairs that share a table are compared on their full sets,
-   each pair in the bucket of its first common hash only, and pairs already connected are skipped.
-   What comes out are links that span the components, never the pairs of a group.
-4. Components by star contraction; see ``graph``.
+2. Keys that one class has alone are settled. A key's classes are cut into blocks of ``BLOCK``, and
+   each pair of blocks is a group of its own, so that no key meets in one task.
+3. In a group, first only the min-hashes are looked at: classes go on that have a candidate, a class
+   with a fitting size that agrees in ``AGREED`` hashes. A pair is a candidate under its first
+   common key only.
+4. The sets of those are built from their texts and compared in full. Pairs that the group has
+   connected already are skipped; what comes out are links that span the components, never the
+   pairs of a group.
+5. Components by star contraction; see ``graph``.
+
+The work on one key is quadratic in its distinct sets, in array operations of a few nanoseconds a
+shingle and of no rows: that is what similarity without transitivity takes.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing. Rows with the
 same id are one document with several texts: they share a component. A row with a null id is linked
@@ -26,13 +31,14 @@ ties at the threshold are links. Other columns are not read. An empty table give
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voltlattice.llm.common import materialize, text_of
+from voltlattice.llm.common import Bitmap, materialize, text_of
 from voltlattice.llm.graph import components
 
 WORDS = 5
@@ -40,6 +46,9 @@ HALF = 6
 BLOCK = 256
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Min-hashes, of 2 * HALF, that two sets must share to be compared. Sets of similarity 0.85 share
+#: fewer with probability 5e-6, sets of similarity 0.8 with 6e-5.
+AGREED = 4
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
@@ -68,6 +77,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@np.errstate(over="ignore")
 def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = [(t or "").encode().lower() for t in texts]
@@ -97,10 +107,12 @@ def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+@np.errstate(over="ignore")
 def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(_mix(s ^ _M).sum(dtype=np.uint64).view(np.int64)), int(_mix(s + _M).sum(dtype=np.uint64).view(np.int64))
 
 
+@np.errstate(over="ignore")
 def _signature(s: np.ndarray) -> np.ndarray:
     return np.array([(s * a + b).min() for a, b in zip(_A, _B)]).view(np.int64)
 
@@ -114,52 +126,102 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = ["id", "n", "d1", "d2", *_HASHES]
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                sets = shingle_sets(batch["text"])
-                hashes = np.array([_signature(s) if len(s) else np.zeros(2 * HALF, np.int64) for s in sets]).reshape(-1, 2 * HALF)
-                digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-                out = {"id": batch["id"], "n": [len(s) for s in sets], "d1": digests[:, 0], "d2": digests[:, 1]}
-                yield pd.DataFrame({**out, **{name: hashes[:, k] for k, name in enumerate(_HASHES)}}, columns=names)
+        for batch in batches:
+            sets = shingle_sets(batch["text"])
+            hashes = np.array([_signature(s) if len(s) else np.zeros(2 * HALF, np.int64) for s in sets]).reshape(-1, 2 * HALF)
+            digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
+            out = {"id": batch["id"], "n": [len(s) for s in sets], "d1": digests[:, 0], "d2": digests[:, 1]}
+            yield pd.DataFrame({**out, **{name: hashes[:, k] for k, name in enumerate(_HASHES)}}, columns=names)
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(
         signed, f"id {kind}, n long, d1 long, d2 long, " + ", ".join(f"{h} long" for h in _HASHES))
 
 
-def _active(classes: DataFrame) -> DataFrame:
-    """(rep, table, a): the first collection's buckets in which a class shares a table with another."""
+_KEY = ["table", "other", "key"]
+_GROUP = [*_KEY, "first", "second"]
+
+
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key belongs to more than one class."""
+    crowded = rows.groupBy(*key).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    return rows.join(crowded.select(*key), key, "left_semi")
+
+
+def _keyed(classes: DataFrame) -> DataFrame:
+    """(table, other, key, rep): the tables' keys that classes share.
+
+    Hashes of the first collection that one class has alone are settled before keys are formed.
+    """
     halves = F.array(*(F.struct(F.lit(k).alias("table"), F.col(h).alias("a")) for k, h in enumerate(_HASHES[:HALF])))
     others = F.array(*(F.struct(F.lit(k).alias("other"), F.col(h).alias("b")) for k, h in enumerate(_HASHES[HALF:])))
-    keyed = (classes.select("rep", F.explode(halves).alias("x"), others.alias("others"))
-             .select("rep", "x.table", "x.a", F.explode("others").alias("y"))
-             .select("rep", "table", "a", F.xxhash64("table", "a", "y.other", "y.b").alias("key")))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
-    return keyed.join(shared, "key", "left_semi").select("rep", "table", "a").distinct()
+    first = classes.select("rep", F.explode(halves).alias("x")).select("rep", "x.table", "x.a")
+    pairs = (_shared(first, ["table", "a"]).join(classes.select("rep", others.alias("others")), "rep")
+             .select("rep", "table", "a", F.explode("others").alias("y"))
+             .select("table", "y.other", F.xxhash64("a", "y.b").alias("key"), "rep"))
+    return _shared(pairs, _KEY)
+
+
+def _blocks(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every pair of blocks of a key with the rows of both: their chunk, set size and min-hashes."""
+    sizes = keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("size"))
+    placed = (keyed.join(sizes, _KEY).withColumn("chunks", F.ceil(F.col("size") / BLOCK))
+              .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+              .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
+    return placed.select(*_KEY, F.least("chunk", "with").alias("first"), F.greatest("chunk", "with").alias("second"), "chunk", "rep").join(
+        classes.select("rep", "n", *_HASHES), "rep")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, members): the full sets of the given classes' first members, as sorted 64-bit hashes."""
+    """(rep, members): the full sets of the given classes' first members, as sorted 64-bit hashes.
+
+    A bitmap of fixed size keeps most other rows from being hashed; texts are never shuffled.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    told = Bitmap(reps, "rep")
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                yield pd.DataFrame({"rep": batch["rep"], "members": [s.tobytes() for s in shingle_sets(batch["text"])]})
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["rep"], "members": [s.tobytes() for s in shingle_sets(batch["text"])]})
 
-    rows = docs.select(F.col(id_col).alias("rep"), text_of(text_col).alias("text")).join(reps, "rep", "left_semi")
+    rows = docs.select(F.col(id_col).alias("rep"), text_of(text_col).alias("text")).filter(told.column("rep"))
     return rows.mapInPandas(built, f"rep {kind}, members binary").filter("octet_length(members) > 0")
 
 
-def _linked(block: pd.DataFrame, percent: int) -> list[tuple]:
-    """Links that span what the sets of two blocks connect."""
-    table, first, second = (int(block[c].iloc[0]) for c in ("table", "first", "second"))
-    block = block.sort_values("rep", kind="stable")
-    reps = block["rep"].to_numpy()
-    sets = [np.frombuffer(m, np.uint64) for m in block["members"]]
+def _candidates(x: int, ys: np.ndarray, table: int, other: int, sizes: np.ndarray, hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Of ``ys``, those that first share this table with ``x``, whose sizes allow the similarity and that agree in enough hashes."""
+    same = hashes[ys] == hashes[x]
+    low, high = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
+    agreed = same.sum(1)
+    fits = (~same[:, :table].any(1) & ~same[:, HALF:HALF + other].any(1) & same[:, table] & same[:, HALF + other]
+            & (100 * low >= percent * high) & (agreed >= AGREED))
+    return ys[fits][np.argsort(-agreed[fits], kind="stable")]
+
+
+def _sides(chunks: np.ndarray, first: int, second: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with those it is to be compared with, every pair once."""
+    left = np.flatnonzero(chunks == first)
+    right = left if first == second else np.flatnonzero(chunks == second)
+    for x in left.tolist():
+        yield x, right[right > x] if first == second else right
+
+
+def _plausible(rows: pd.DataFrame, group: tuple, percent: int) -> np.ndarray:
+    """The places of rows that have a candidate."""
+    table, other, _, first, second = group
+    sizes, hashes, hit = rows["n"].to_numpy(), rows[_HASHES].to_numpy(np.int64), np.zeros(len(rows), bool)
+    for x, ys in _sides(rows["chunk"].to_numpy(), first, second):
+        found = _candidates(x, ys, table, other, sizes, hashes, percent)
+        hit[found] = True
+        hit[x] |= len(found) > 0
+    return np.flatnonzero(hit)
+
+
+def _linked(rows: pd.DataFrame, group: tuple, percent: int) -> list[tuple]:
+    """Links that span what the full sets of a group connect."""
+    table, other, _, first, second = group
+    reps, hashes = rows["rep"].to_numpy(), rows[_HASHES].to_numpy(np.int64)
+    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
     sizes = np.array([len(s) for s in sets])
-    hashes = block[_HASHES].to_numpy(np.int64)
-    left = np.flatnonzero(block["chunk"].to_numpy() == first)
-    right = left if first == second else np.flatnonzero(block["chunk"].to_numpy() == second)
     parent = list(range(len(reps)))
 
     def root(x: int) -> int:
@@ -169,13 +231,8 @@ def _linked(block: pd.DataFrame, percent: int) -> list[tuple]:
         return x
 
     links = []
-    for x in left.tolist():
-        ys = right[right > x] if first == second else right
-        same = hashes[ys] == hashes[x]
-        shared = same[:, HALF:].any(1) & ~same[:, :table].any(1)
-        low, high = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
-        fits = shared & (100 * low >= percent * high)
-        for y in ys[fits][np.argsort(-same[fits].sum(1), kind="stable")].tolist():
+    for x, ys in _sides(rows["chunk"].to_numpy(), first, second):
+        for y in _candidates(x, ys, table, other, sizes, hashes, percent).tolist():
             if root(x) == root(y):
                 continue
             small, large = (sets[x], sets[y]) if sizes[x] <= sizes[y] else (sets[y], sets[x])
@@ -187,24 +244,50 @@ def _linked(block: pd.DataFrame, percent: int) -> list[tuple]:
     return links
 
 
+def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int, tuple]]]]:
+    """Rows sorted by group as frames of whole groups, and the groups of two or more rows in each.
+
+    A group has at most two blocks and may span batches, so memory is bounded.
+    """
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        rows = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        keys = rows[_GROUP].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        end = len(rows) if batch is None else int(starts[-1])
+        ends = [*starts[1:].tolist(), len(rows)]
+        yield rows.iloc[:end], [(a, b, tuple(keys[a].tolist())) for a, b in zip(starts.tolist(), ends) if b <= end and b - a > 1]
+        held = None if batch is None else rows.iloc[end:]
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    """Groups are small and many, so a task reads them as one sorted stream."""
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
 def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(u, v): links between classes that span their components."""
     kind = docs.schema[id_col].dataType.simpleString()
-    active = materialize(_active(classes), "minhash-active")
-    sizes = active.groupBy("table", "a").agg(F.count(F.lit(1)).alias("size"))
-    sets = materialize(_sets(docs, active.select("rep").distinct(), id_col, text_col), "minhash-sets")
-    placed = (active.join(sizes, ["table", "a"]).filter("size > 1")
-              .withColumn("chunks", F.ceil(F.col("size") / BLOCK))
-              .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-              .join(classes.select("rep", *_HASHES), "rep").join(sets, "rep"))
-    blocks = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumns(
-        {"first": F.least("chunk", "with"), "second": F.greatest("chunk", "with")})
+    keyed = materialize(_keyed(classes), "minhash-keys")
+    blocks = _sorted_groups(_blocks(keyed, classes))
+
+    def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, groups in _by_group(batches):
+            kept = [a + _plausible(rows.iloc[a:b], group, percent) for a, b, group in groups]
+            yield rows.iloc[np.concatenate(kept) if kept else []]
+
+    narrow = materialize(blocks.mapInPandas(narrowed, blocks.schema), "minhash-candidates")
+    sets = _sets(docs, narrow.select("rep").distinct(), id_col, text_col)
+    full = _sorted_groups(narrow.select(*_GROUP, "chunk", "rep", *_HASHES).join(sets, "rep"))
 
-    def compared(block: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_linked(block, percent), columns=["u", "v"])
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, groups in _by_group(batches):
+            found = [link for a, b, group in groups for link in _linked(rows.iloc[a:b], group, percent)]
+            yield pd.DataFrame(found, columns=["u", "v"]).astype(rows["rep"].dtype)
 
-    return (blocks.select("table", "a", "first", "second", "chunk", "rep", "members", *_HASHES)
-            .groupBy("table", "a", "first", "second").applyInPandas(compared, f"u {kind}, v {kind}"))
+    return full.mapInPandas(compared, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
