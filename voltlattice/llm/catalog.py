@@ -23,8 +23,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_best_fit_packing")
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.packed_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("op2_line_dedup")
@@ -85,6 +84,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_piece_sampling")
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text and what they decode to: the digest of the text itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")  # more rows share the lattices of a batch
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = read_table(spark, sf_dir, "documents").select("doc_id", piece_sampling.encode_column(path, "doc_id", text_of()).alias("ids"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),

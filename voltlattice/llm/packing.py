@@ -14,7 +14,6 @@ result. Only longer documents than a sequence are cut; the rest of the division
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from voltlattice.llm.common import fresh, materialize, text_of
+from voltlattice.llm.common import materialize, text_of
 from voltlattice.llm.tokens import encoder
 
 SEQUENCE = 2048
@@ -30,7 +29,7 @@ SEQUENCE = 2048
 SLACK = 8
 FAN_IN = 16
 ITEMS_PER_TASK = 2_000_000
-#: Partitions below which one task can take over directly.
+#: Bits of a row number in a key, below the task's number.
 _ID_BITS = 40
 
 
@@ -42,7 +41,7 @@ def cut_lengths(tokens: int, size: int) -> list[int]:
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SEQUENCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: piece_key, doc_id, piece, start, length, ids (little-endian uint32), ids_crc32."""
+    """One row per piece: piece_key, doc_id, piece, start, length, ids (little-endian uint32)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,14 +53,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int
                 ids = encode(text) + end
                 start = 0
                 for k, n in enumerate(cut_lengths(len(ids) // 4, size)):
-                    part = ids[4 * start:4 * (start + n)]
-                    rows.append((key, doc, k, start, n, part, zlib.crc32(part)))
+                    rows.append((key, doc, k, start, n, ids[4 * start:4 * (start + n)]))
                     key, start = key + 1, start + n
-            yield pd.DataFrame(rows, columns=["piece_key", "doc_id", "piece", "start", "length", "ids", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["piece_key", "doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": batch["doc_id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-            .mapInPandas(pieces, f"piece_key long, doc_id {kind}, piece int, start long, length long, ids binary, ids_crc32 long"))
+            .mapInPandas(pieces, f"piece_key long, doc_id {kind}, piece int, start long, length long, ids binary"))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,12 +138,22 @@ def pack(pieces: DataFrame, key: str = "piece_key", length: str = "length", capa
     return placed.select(F.col("piece_key").alias(key), F.col("bin").alias("sequence_id"), "offset")
 
 
+def pieces_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = SEQUENCE,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces, written once: every later step reads only the columns it needs."""
+    return materialize(tokenize_pieces(docs, tokenizer_path, end_id, size, id_col, text_col), "packing-pieces")
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = SEQUENCE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their ids, sequence_id and offset. The ids stay where they were written; only keys are joined."""
+    """Pieces with their ids, sequence_id and offset."""
     written = pieces_table(docs, tokenizer_path, end_id, size, id_col, text_col)
     return written.join(pack(written, capacity=size), "piece_key").drop("piece_key")
 
 
-def pieces_table(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    return materialize(tokenize_pieces(docs, tokenizer_path, end_id, size, id_col, text_col), "packing-pieces")
+def packed_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = SEQUENCE,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces with the crc32 of their ids, sequence_id and offset. Ids are digested where they are read, and not shuffled."""
+    written = pieces_table(docs, tokenizer_path, end_id, size, id_col, text_col)
+    told = written.select("piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return told.join(pack(written, capacity=size), "piece_key").drop("piece_key")

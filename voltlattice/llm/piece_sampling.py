@@ -32,6 +32,8 @@ ALPHA = 1.0
 META = "▁"
 #: Weight of one byte of a character that has no piece.
 BYTE_WEIGHT = -20.0
+#: Characters whose lattices are built together; a longer text is a batch of its own.
+BATCH_CHARS = 4_000_000
 #: Stands for a literal meta space, which no piece matches.
 _LITERAL = 0x110000
 _SHIFT = 21
@@ -130,7 +132,7 @@ class Lattice:
         start, end, piece = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
         width = np.select([chars < 0x80, chars < 0x800, (chars < 0x10000) | (chars == _LITERAL)], [1, 2, 3], 4)
         weight = np.concatenate([pieces.weights[piece[:len(piece) - len(bare)]], BYTE_WEIGHT * width[bare]])
-        by = np.lexsort((start, end))
+        by = np.argsort(end, kind="stable")
         self.start, self.end, self.piece, weight = start[by], end[by], piece[by], weight[by]
         self.cut = np.searchsorted(self.end, np.arange(len(chars) + len(words) + 1))
         forward = np.full(len(chars) + len(words), -np.inf)
@@ -223,7 +225,11 @@ def encode_column(path: str, key: str | Column, text: str | Column, seed: int =
     """Sampled piece ids (binary, little-endian uint32) of a text column, drawn by the row's key."""
     @F.pandas_udf("binary")
     def encoded(keys: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(encode_batch(pieces(path, alpha), keys.tolist(), texts.tolist(), seed))
+        model, out = pieces(path, alpha), []
+        sizes = np.cumsum(texts.str.len().fillna(0)).to_numpy() // BATCH_CHARS
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+            out += encode_batch(model, keys.iloc[part].tolist(), texts.iloc[part].tolist(), seed)
+        return pd.Series(out)
 
     column = F.col(key) if isinstance(key, str) else key
     return encoded(F.coalesce(column.cast("string"), F.lit("null")), text)

@@ -1,9 +1,10 @@
 """Exact encoding with a public tokenizer, with the ids of repeated words kept per worker.
 
 Pre-tokenisation cuts at every single space between two other characters, so the ids of a text are
-the ids of its words one after the other. Each word is encoded once by the tokenizers library (its
-normaliser, pre-tokeniser and model) and looked up afterwards; the table is emptied at
-``WORDS_HELD`` entries, which bounds a worker's memory and changes no result.
+the ids of its words one after the other. Each word is encoded once and looked up afterwards: plain
+ones (letters and final punctuation) by the library's model directly, all others by its normaliser,
+pre-tokeniser and model. The tables are emptied at ``WORDS_HELD`` and ``PARTS_HELD`` entries, which
+bounds a worker's memory (to about 200 MB) and changes no result.
 """
 
 from __future__ import annotations
@@ -11,12 +12,25 @@ from __future__ import annotations
 import functools
 import json
 import re
+import string
+from array import array
 
-import numpy as np
-
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
+PARTS_HELD = 800_000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN_SPACE = re.compile(r"\s | \s| \Z|\A ")
+_RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+#: Up to here a letter is its own normal form, and Python's and the library's letters are the same.
+_PLAIN = "ɏ"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """A character for every byte: itself if it is printable in Latin-1, else one from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 class WordEncoder:
@@ -31,38 +45,63 @@ class WordEncoder:
         # The library's own cache of words is small and costs more than it saves here.
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in told["model"]["merges"]]
         kept = {k: v for k, v in told["model"].items() if k in ("unk_token", "end_of_word_suffix", "continuing_subword_prefix") and v}
-        self.model = models.BPE(told["model"]["vocab"], merges, cache_capacity=0, **kept)
+        self.tokenize = models.BPE(told["model"]["vocab"], merges, cache_capacity=0, **kept).tokenize
+        self.split_up = self.whole.pre_tokenizer.pre_tokenize_str
         self.special = [t["content"] for t in told["added_tokens"]]
-        #: A normaliser that folds white space drops it: words then need no leading space.
-        self.drops_space = self.whole.normalizer is not None
-        self.known: dict[str, bytes] = {}
+        #: A normaliser that folds white space and case drops spaces: words then need no leading one.
+        self.normalize = self.whole.normalizer.normalize_str if self.whole.normalizer else None
+        self.words: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        if any(s in word for s in self.special):
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        else:
-            text = self.whole.normalizer.normalize_str(word) if self.drops_space else word
-            ids = [t.id for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(text) for t in self.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
+    def _part(self, part: str) -> bytes:
+        """The ids of one pre-token, given in bytes' characters."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = array("I", [t.id for t in self.tokenize(part)]).tobytes()
+        return ids
 
-    def _words(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.split(" ")
-        parts = _INNER_SPACE.split(text) if _UNEVEN_SPACE.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+    def _mapped(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(_ALPHABET)
 
-    def encode(self, text: str | None) -> bytes:
-        words = self._words(text or "")
-        known = self.known
+    def _word(self, lead: str, word: str) -> bytes:
+        out = []
+        for k, line in enumerate(word.split("\n")):
+            letters = line.rstrip(string.punctuation)
+            if not letters.isalpha() or max(letters) > _PLAIN:
+                break
+            if k and not self.normalize:
+                out.append(self._part(_ALPHABET[10]))
+            out.append(self._part(self._mapped(letters.lower() if self.normalize else letters if k else lead + letters)))
+            if len(letters) < len(line):
+                out.append(self._part(line[len(letters):]))
+        else:
+            return b"".join(out)
+        word = lead + word
+        if any(s in word for s in self.special):
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(self._part(p) for p, _ in self.split_up(self.normalize(word) if self.normalize else word))
+
+    def _looked_up(self, held: dict[str, bytes], lead: str, words: list[str]) -> bytes:
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([held[w] for w in words])
         except KeyError:
-            if len(known) > WORDS_HELD:
-                known.clear()
             for w in set(words):
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+                if w not in held:
+                    held[w] = self._word(lead, w)
+            return b"".join([held[w] for w in words])
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        for held, most in ((self.words, WORDS_HELD), (self.firsts, WORDS_HELD), (self.parts, PARTS_HELD)):
+            if len(held) > most:
+                held.clear()
+        if self.normalize:
+            return self._looked_up(self.words, "", text.replace("\n", " ").split(" "))
+        uneven = ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+                  or any(c in text for c in _RARE_SPACE))
+        first, *others = _INNER_SPACE.split(text) if uneven else text.split(" ")
+        return self._looked_up(self.firsts, "", [first]) + self._looked_up(self.words, " ", others)
 
 
 @functools.lru_cache(maxsize=2)
