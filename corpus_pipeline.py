@@ -48,8 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of 2048 tokens."""
     prepare(spark)
-    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("pack", pack)]
