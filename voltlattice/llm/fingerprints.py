@@ -31,24 +31,34 @@ _MODULUS = 2**32
 _PAIR = (1 << 32) + 1
 
 
+def _equal_lanes(text: Column) -> Column:
+    """The lanes of all paragraphs of a text, as one string of hexadecimal digits."""
+    lane = lambda digest: lambda sum_, i: _modulo(sum_ + F.xxhash64(i, digest).bitwiseAND(_MODULUS - 1))
+    order = F.sequence(F.lit(0), F.lit(EQUAL - 1))
+    digests = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
+    return _hex(F.aggregate(digests, F.array_repeat(F.lit(0).cast("long"), EQUAL), lambda sums, g: F.zip_with(sums, order, lane(g))))
+
+
+def _hex(lanes: Column) -> Column:
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
 def vectors(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and the fingerprint ``vector`` (array of longs) of each group's text; keys must tell the rows apart."""
-    paragraphs = rows.select(*keys, F.explode(F.split(text, "\n")).alias("_paragraph")).select(
-        *keys, F.sha2("_paragraph", 256).alias("_digest"), F.split(F.trim("_paragraph"), r"[\x20\x09-\x0D]+").alias("_words"))
-    pairs = F.filter(F.col("_words"), lambda w: w != "")
-    units = paragraphs.select(*keys, "_digest", pairs.alias("_words")).select(
-        *keys, "_digest", F.posexplode_outer(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))).alias("b"))).alias("_at", "_unit"))
-    told = units.select(*keys, "_digest", (F.coalesce("_at", F.lit(0)) == 0).alias("_first"), F.col("_unit").isNotNull().alias("_is"),
-                        F.xxhash64("_unit.a", "_unit.b").alias("_hash"))
-    lane = lambda i: F.when(F.col("_first"), F.xxhash64(F.lit(i), F.col("_digest")).bitwiseAND(_MODULUS - 1))
-    bits = lambda i: F.when(F.col("_is"), F.shiftrightunsigned("_hash", i).bitwiseAND(F.lit(_PAIR)))
-    sums = told.groupBy(*keys).agg(
-        *(F.sum(lane(i)).alias(f"_e{i}") for i in range(EQUAL)), F.count_if("_is").alias("_n"),
-        *(F.coalesce(F.sum(bits(i)), F.lit(0)).alias(f"_p{i}") for i in range(LIKE // 2)))
-    low = [F.col(f"_p{i}").bitwiseAND(_MODULUS - 1) for i in range(LIKE // 2)]
-    high = [F.shiftrightunsigned(f"_p{i}", 32) for i in range(LIKE // 2)]
-    lanes = F.array(*(F.col(f"_e{i}") for i in range(EQUAL)), F.col("_n"), *low, *high)
-    return sums.select(*keys, F.transform(lanes, _modulo).alias("vector"))
+    # The lanes of paragraphs are few: they are summed within the row and carried along as a key,
+    # so that the aggregation below, which sees every word, stays small enough to be compiled.
+    lanes = rows.select(*keys, F.col(text).alias("_text"), _equal_lanes(F.col(text)).alias("_equal"))
+    paragraphs = lanes.select(*keys, "_equal", F.explode(F.split("_text", "\n")).alias("_paragraph"))
+    words = F.filter(F.split("_paragraph", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    units = paragraphs.select(*keys, "_equal", words.alias("_words")).select(
+        *keys, "_equal", F.explode_outer(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))).alias("b"))).alias("_unit"))
+    told = units.select(*keys, "_equal", F.when(F.col("_unit").isNotNull(), F.xxhash64("_unit.a", "_unit.b")).alias("_hash"))
+    bits = lambda i: F.shiftrightunsigned("_hash", i).bitwiseAND(F.lit(_PAIR))
+    sums = told.groupBy(*keys, "_equal").agg(F.count("_hash").alias("_n"), *(F.sum(bits(i)).alias(f"_p{i}") for i in range(LIKE // 2)))
+    pairs = [F.coalesce(f"_p{i}", F.lit(0)) for i in range(LIKE // 2)]
+    equal = F.transform(F.sequence(F.lit(0), F.lit(EQUAL - 1)), lambda i: F.conv(F.substring(F.col("_equal"), 8 * i + 1, F.lit(8)), 16, 10).cast("long"))
+    counts = F.array(F.col("_n"), *(p.bitwiseAND(_MODULUS - 1) for p in pairs), *(F.shiftrightunsigned(p, 32) for p in pairs))
+    return sums.select(*keys, F.concat(equal, F.transform(counts, _modulo)).alias("vector"))
 
 
 def _modulo(x: Column) -> Column:
@@ -67,7 +77,7 @@ def remove(a: Column, b: Column) -> Column:
 
 def text_form(vector: Column) -> Column:
     """Eight lower-case hexadecimal digits a lane."""
-    return F.lower(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    return _hex(vector)
 
 
 def likeness(a: Column, b: Column) -> Column:
