@@ -205,22 +205,21 @@ def _sides(chunks: np.ndarray, first: int, second: int) -> Iterator[tuple[int, n
         yield x, right[right > x] if first == second else right
 
 
-def _plausible(rows: pd.DataFrame, group: tuple, percent: int) -> np.ndarray:
+def _plausible(sizes: np.ndarray, hashes: np.ndarray, chunks: np.ndarray, group: tuple, percent: int) -> np.ndarray:
     """The places of rows that have a candidate."""
     table, other, _, first, second = group
-    sizes, hashes, hit = rows["n"].to_numpy(), rows[_HASHES].to_numpy(np.int64), np.zeros(len(rows), bool)
-    for x, ys in _sides(rows["chunk"].to_numpy(), first, second):
+    hit = np.zeros(len(sizes), bool)
+    for x, ys in _sides(chunks, first, second):
         found = _candidates(x, ys, table, other, sizes, hashes, percent)
         hit[found] = True
         hit[x] |= len(found) > 0
     return np.flatnonzero(hit)
 
 
-def _linked(rows: pd.DataFrame, group: tuple, percent: int) -> list[tuple]:
+def _linked(reps: np.ndarray, members: list[bytes], hashes: np.ndarray, chunks: np.ndarray, group: tuple, percent: int) -> list[tuple]:
     """Links that span what the full sets of a group connect."""
     table, other, _, first, second = group
-    reps, hashes = rows["rep"].to_numpy(), rows[_HASHES].to_numpy(np.int64)
-    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    sets = [np.frombuffer(m, np.uint64) for m in members]
     sizes = np.array([len(s) for s in sets])
     parent = list(range(len(reps)))
 
@@ -231,7 +230,7 @@ def _linked(rows: pd.DataFrame, group: tuple, percent: int) -> list[tuple]:
         return x
 
     links = []
-    for x, ys in _sides(rows["chunk"].to_numpy(), first, second):
+    for x, ys in _sides(chunks, first, second):
         for y in _candidates(x, ys, table, other, sizes, hashes, percent).tolist():
             if root(x) == root(y):
                 continue
@@ -275,7 +274,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
 
     def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, groups in _by_group(batches):
-            kept = [a + _plausible(rows.iloc[a:b], group, percent) for a, b, group in groups]
+            sizes, hashes, chunks = rows["n"].to_numpy(), rows[_HASHES].to_numpy(np.int64), rows["chunk"].to_numpy()
+            kept = [a + _plausible(sizes[a:b], hashes[a:b], chunks[a:b], group, percent) for a, b, group in groups]
             yield rows.iloc[np.concatenate(kept) if kept else []]
 
     narrow = materialize(blocks.mapInPandas(narrowed, blocks.schema), "minhash-candidates")
@@ -284,7 +284,9 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, groups in _by_group(batches):
-            found = [link for a, b, group in groups for link in _linked(rows.iloc[a:b], group, percent)]
+            reps, members = rows["rep"].to_numpy(), rows["members"].tolist()
+            hashes, chunks = rows[_HASHES].to_numpy(np.int64), rows["chunk"].to_numpy()
+            found = [link for a, b, group in groups for link in _linked(reps[a:b], members[a:b], hashes[a:b], chunks[a:b], group, percent)]
             yield pd.DataFrame(found, columns=["u", "v"]).astype(rows["rep"].dtype)
 
     return full.mapInPandas(compared, f"u {kind}, v {kind}")
