@@ -145,3 +145,39 @@ def test_batches_are_all_or_nothing(spark):
     assert {r.s for r in kept} == {"STA000", "STA002"}
     whole = featured.withColumn("batch_id", F.lit("all"))
     assert serving.predict_batches(whole, baseline_predict).isEmpty()  # more than 500 items
+
+
+def test_lookups_read_only_the_days_asked_for(spark):
+    """One request needs three days of one station, from history as it is and from the packed table."""
+    hourly = make_hourly(spark)
+    when = START + dt.timedelta(days=10, hours=5)
+    asked = spark.createDataFrame([("STA001", when)], "station_id string, ts timestamp_ntz").withColumn("day", F.to_date("ts"))
+    needs = hist.lookback_needs(asked)
+    days = {r.day for r in hist.needed_history(hourly, needs).select(F.to_date("timestamp").alias("day")).distinct().collect()}
+    assert days == {when.date() - dt.timedelta(days=n) for n in (0, 1, 7)}
+    assert hist.needed_history(hourly, needs).count() == 72
+    text = hist.attach_history(asked.drop("day"), hourly)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text
+
+
+def test_packed_history_gives_the_same_features(spark, tmp_path):
+    hourly = make_hourly(spark, drop={(1, 200)})
+    hist.write_packed(hourly, str(tmp_path / "packed"))
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    times = [START + dt.timedelta(hours=h) for h in (3, 180, 201, 224, 399)]
+    asked = spark.createDataFrame([(k, f"STA{k % 4:03d}", t) for k, t in enumerate(t for t in times for _ in range(4))], "request_id int, station_id string, ts timestamp_ntz")
+    plain = hist.attach_history(asked, hourly).orderBy("request_id").collect()
+    assert hist.attach_history(asked, hourly, packed.select("station_id").distinct(), packed).orderBy("request_id").collect() == plain
+    assert [r.known_station for r in plain] == [r.station_id != "STA003" for r in plain]
+
+
+def test_sessions_without_or_before_their_end(spark):
+    from voltlattice.operators import spine
+
+    t = lambda h, m=0: dt.datetime(2025, 1, 6, h, m)
+    sessions = spark.createDataFrame([("a", t(0, 10), None), ("a", t(3), t(1)), ("a", t(4), t(6, 30)), ("a", t(9), t(23))],
+                                     "station_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    got = {r.timestamp.hour: r.demand for r in spine.demand_per_hour(sessions, sessions.select("station_id").distinct()).collect()}
+    assert got == {h: int(h in (0, 3, 4, 5, 6, 9)) for h in range(10)}
+    report = spine.irregular_sessions(sessions).first()
+    assert (report.open_sessions, report.reversed_sessions) == (1, 1)

@@ -246,12 +246,14 @@ def request_features(spark, sf_dir):
         WHEN hour(ts) BETWEEN 12 AND 14 THEN 'midday period (12–2 PM)' WHEN hour(ts) BETWEEN 18 AND 21 THEN 'evening peak (6–9 PM)'
         WHEN hour(ts) BETWEEN 0 AND 5 THEN 'overnight off-peak (12–6 AM)' ELSE printf('hour %02d:00', hour(ts)) END AS time_period,
       CASE WHEN rolling_mean_24h >= {d(0.7)} THEN 'high' WHEN rolling_mean_24h >= {d(0.4)} THEN 'moderate' ELSE 'low' END AS recent_24h_trend,
-      {rnd("lag_1h", 4)} AS context_lag_1h, {rnd("rolling_mean_24h", 4)} AS context_rolling_mean_24h
+      {rnd("lag_1h", 4)} AS context_lag_1h, {rnd("lag_24h", 4)} AS context_lag_24h, {rnd("lag_168h", 4)} AS context_lag_168h,
+      {rnd("rolling_mean_24h", 4)} AS context_rolling_mean_24h, isodow(ts) >= 6 AS context_is_weekend,
+      coalesce(is_holiday, FALSE) AS context_is_holiday
     FROM checked WHERE error_code IS NULL""")
 def context_labels(spark, sf_dir):
     built = serving.build_request_features(fx.requests(spark, sf_dir), fx.hourly(spark, sf_dir))
     return serving.valid(built).withColumns(serving.context()).select(
-        "request_id", "time_period", "recent_24h_trend", "context_lag_1h", "context_rolling_mean_24h"
+        "request_id", *serving.context()
     )
 
 

@@ -182,7 +182,8 @@ def train_and_evaluate(spark, sf_dir):
                          F.size("error_analysis.by_city").alias("n_cities"), F.size("error_analysis.by_hour_worst5").alias("n_worst"))
 
 
-@query("snk_3_evaluation_report")
+@query("snk_3_evaluation_report", """
+    SELECT count(*) AS featured_rows, count(*) FILTER (split = 'test') AS rows, 16 AS n_features, 'occupancy_rate' AS target_col FROM labelled""")
 def evaluation_report(spark, sf_dir):
     path = shared_dir(spark, "report")
     trained(spark, sf_dir).report.write.json(path)
@@ -195,7 +196,9 @@ def saved(spark, sf_dir):
     return files.save_model(result.model, shared_dir(spark, "model"), training.model_metadata(result))
 
 
-@query("snk_4_save_model")
+@query("snk_4_save_model", f"""
+    SELECT 'RandomForestRegressor' AS model_type, CAST({SMALL["trees"]} AS BIGINT) AS n_estimators, CAST({SMALL["depth"]} AS BIGINT) AS max_depth,
+      CAST(16 AS BIGINT) AS n_features, count(*) AS rows FROM labelled WHERE split = 'train'""")
 def save_model(spark, sf_dir):
     _, metadata = files.load_model(spark, saved(spark, sf_dir))
     return metadata.select("model_type", "n_estimators", "max_depth", "n_features", "splits.train.rows")

@@ -119,31 +119,41 @@ def decision_requests(spark, sf_dir):
     return quality.validate_rows(asked, quality.decision_rules()).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("val_6_dataset_report", """
-    SELECT count(*) AS total_rows, count(DISTINCT station_id) AS unique_stations, min("timestamp") AS min_timestamp,
-      max("timestamp") AS max_timestamp, CAST(0 AS BIGINT) AS null_values,
-      count(*) FILTER (NOT occupancy_rate BETWEEN 0 AND 1) AS target_out_of_range,
-      count(*) FILTER (occupied_slots < 0 OR occupied_slots > total_slots) AS invalid_slots,
-      count(*) - count(DISTINCT station_id || CAST("timestamp" AS VARCHAR)) AS duplicate_rows,
-      CAST(0 AS BIGINT) AS lag_mismatches, TRUE AS is_valid FROM featured""")
+def report_sql(rows: str, columns: list[str]) -> str:
+    """The quality report of a table, its nulls counted over ``columns``."""
+    nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
+    return f"""report AS (
+      SELECT count(*) AS total_rows, count(DISTINCT station_id) AS unique_stations, min("timestamp") AS min_timestamp,
+        max("timestamp") AS max_timestamp, {nulls} AS null_values,
+        count(*) FILTER (NOT occupancy_rate BETWEEN 0 AND 1) AS target_out_of_range,
+        count(*) FILTER (occupied_slots < 0 OR occupied_slots > total_slots) AS invalid_slots,
+        count(*) - count(DISTINCT station_id || CAST("timestamp" AS VARCHAR)) AS duplicate_rows,
+        count(*) FILTER (abs(lag_1h - previous) > CAST(0.00001 AS DOUBLE)) AS lag_mismatches
+      FROM (SELECT *, lag(occupancy_rate) OVER (PARTITION BY station_id ORDER BY "timestamp") AS previous FROM {rows}))
+    SELECT *, null_values + target_out_of_range + invalid_slots + duplicate_rows + lag_mismatches = 0 AS is_valid FROM report"""
+
+
+@query("val_6_dataset_report", "WITH " + report_sql("featured", [
+    "station_id", "occupancy_rate", "temperature_c", "lag_1h", "lag_24h", "lag_168h", "rolling_mean_6h", "rolling_mean_24h", "rolling_std_24h"]))
 def dataset_report(spark, sf_dir):
     return quality.dataset_report(training.build_training_features(fx.hourly(spark, sf_dir)))
 
 
 @query("val_6_dataset_report_dirty", """
-    WITH hot AS (SELECT station_id, "timestamp", occupancy_rate,
-        lag(occupancy_rate) OVER (PARTITION BY station_id ORDER BY "timestamp") AS lag_1h, occupied_slots, total_slots FROM hourly),
+    WITH hot AS (SELECT station_id, "timestamp", occupancy_rate + CASE WHEN day("timestamp") = 7 THEN 2 ELSE 0 END AS occupancy_rate,
+        lag(occupancy_rate) OVER (PARTITION BY station_id ORDER BY "timestamp") + CASE WHEN day("timestamp") = 9 THEN 0.5 ELSE 0 END AS lag_1h,
+        CASE WHEN day("timestamp") = 8 THEN -1 ELSE occupied_slots END AS occupied_slots, total_slots FROM hourly),
       dirty AS (SELECT * FROM hot UNION ALL SELECT * FROM hot WHERE day("timestamp") = 5),
-      twice AS (SELECT station_id, "timestamp", count(*) AS n FROM dirty GROUP BY ALL)
-    SELECT count(*) AS total_rows, (SELECT CAST(sum(n - 1) AS BIGINT) FROM twice) AS duplicate_rows,
-      count(*) FILTER (lag_1h IS NULL) AS null_values FROM dirty""")
+      """ + report_sql("dirty", ["station_id", "occupancy_rate", "lag_1h", "occupied_slots", "total_slots"]))
 def dataset_report_dirty(spark, sf_dir):
-    """The report on data with doubled rows and missing lags."""
+    """The report on data with doubled rows, missing and shifted lags, and values out of range."""
+    day = F.dayofmonth("timestamp")
     hot = fx.hourly(spark, sf_dir).withColumns({"lag_1h": windows.lag_columns()["lag_1h"]}).select(
-        "station_id", "timestamp", "occupancy_rate", "lag_1h", "occupied_slots", "total_slots"
+        "station_id", "timestamp", (F.col("occupancy_rate") + F.when(day == 7, 2).otherwise(0)).alias("occupancy_rate"),
+        (F.col("lag_1h") + F.when(day == 9, 0.5).otherwise(0.0)).alias("lag_1h"),
+        F.when(day == 8, -1).otherwise(F.col("occupied_slots")).alias("occupied_slots"), "total_slots",
     )
-    dirty = hot.unionByName(hot.filter(F.dayofmonth("timestamp") == 5))
-    return quality.dataset_report(dirty).select("total_rows", "duplicate_rows", "null_values")
+    return quality.dataset_report(hot.unionByName(hot.filter(day == 5)))
 
 
 @query("val_7_leakage_guard", """

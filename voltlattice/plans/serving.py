@@ -50,6 +50,8 @@ def context() -> dict:
         "context_lag_24h": pround("lag_24h", 4),
         "context_lag_168h": pround("lag_168h", 4),
         "context_rolling_mean_24h": pround("rolling_mean_24h", 4),
+        "context_is_weekend": F.col("is_weekend") == 1,
+        "context_is_holiday": F.col("is_holiday") == 1,
         "recent_24h_trend": occ.trend_label(F.col("rolling_mean_24h")),
     }
 
