@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from voltlattice.llm.common import materialize, text_of
+from voltlattice.llm.common import materialize, partitions, text_of
 from voltlattice.llm.tokens import encoder
 
 SEQUENCE = 2048
@@ -29,6 +29,8 @@ SEQUENCE = 2048
 SLACK = 8
 FAN_IN = 16
 ITEMS_PER_TASK = 2_000_000
+#: Items that are worth a task of their own in the first round.
+LEAST_ITEMS = 1_000
 #: Bits of a row number in a key, below the task's number.
 _ID_BITS = 40
 
@@ -112,11 +114,9 @@ def pack(pieces: DataFrame, key: str = "piece_key", length: str = "length", capa
          slack: int = SLACK) -> DataFrame:
     """(key, sequence_id, offset) for every piece; keys must be unique."""
     items = pieces.select(F.col(key).alias("id"), F.col(length).alias("size"))
-    tasks, left = items.rdd.getNumPartitions(), items.count()
-    tasks = max(tasks if left > tasks * 100 else 1, math.ceil(left / ITEMS_PER_TASK))
-    if tasks < items.rdd.getNumPartitions():
-        items = items.repartition(tasks, "id")
-    placed = None
+    left = items.count()
+    tasks = max(1, math.ceil(left / ITEMS_PER_TASK), min(partitions(pieces.sparkSession), left // LEAST_ITEMS))
+    items, placed = items.repartition(tasks, "id"), None
     for number in range(1, 16):
         done = materialize(_round(items, number, capacity, slack), "packing-round")
         step = done.select(F.col("id").alias("_id"), "bin", "offset")
