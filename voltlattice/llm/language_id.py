@@ -205,10 +205,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
         return model
     column = predict_column(docs.sparkSession, model, F.col(text_col))
     fits = (docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-            .select(F.col(lang_col).alias("lang"), column.alias("p"))
-            .filter("p.lang = lang").groupBy("lang")
-            .agg(F.percentile_approx("p.entropy", [0.5, 0.999], 10000).alias("q")).collect())
-    quantiles = {r["lang"]: r["q"] for r in fits}
+            .select(F.col(lang_col).alias("lang"), column.alias("p")).groupBy("lang")
+            # Not a filter: pushed below the prediction, it would predict a second time.
+            .agg(F.percentile_approx(F.when(F.col("p.lang") == F.col("lang"), F.col("p.entropy")), [0.5, 0.999], 10000).alias("q")).collect())
+    quantiles = {r["lang"]: r["q"] for r in fits if r["q"]}
     middle, high = (np.array([quantiles.get(n, [np.log(SYMBOLS)] * 2)[k] for n in names]) for k in (0, 1))
     model.middles, model.limits = middle, high + np.maximum((high - middle) / 2, 0.05)
     return model
