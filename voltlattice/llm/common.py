@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltlattice.session import apply_recommended, materialize, shared_dir
@@ -64,12 +63,12 @@ class Bitmap:
         self._words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
         self._shared = df.sparkSession.sparkContext.broadcast(self._words)
 
-    def column(self, column: str | Column) -> Column:
+    def test(self):
+        """A function of an array of the values' ``xxhash64``, for use in tasks."""
         shared, size = self._shared, 2**self.BITS
 
-        @F.pandas_udf("boolean")
-        def told(hashes: pd.Series) -> pd.Series:
-            bit = hashes.to_numpy(np.int64) % size
-            return pd.Series((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1)
+        def told(hashes: np.ndarray) -> np.ndarray:
+            bit = hashes % size
+            return (shared.value[bit >> 6] >> (bit & 63)) & 1 == 1
 
-        return told(F.xxhash64(column))
+        return told

@@ -177,13 +177,15 @@ def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataF
     A bitmap of fixed size keeps most other rows from being hashed; texts are never shuffled.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    told = Bitmap(reps, "rep")
+    told = Bitmap(reps, "rep").test()
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["rep"], "members": [s.tobytes() for s in shingle_sets(batch["text"])]})
+            wanted = batch[told(batch["hash"].to_numpy(np.int64))]
+            yield pd.DataFrame({"rep": wanted["rep"], "members": [s.tobytes() for s in shingle_sets(wanted["text"])]})
 
-    rows = docs.select(F.col(id_col).alias("rep"), text_of(text_col).alias("text")).filter(told.column("rep"))
+    # Tested in the worker that builds the sets: a filter before it would be a second worker for each task.
+    rows = docs.select(F.col(id_col).alias("rep"), F.xxhash64(id_col).alias("hash"), text_of(text_col).alias("text")).filter("rep IS NOT NULL")
     return rows.mapInPandas(built, f"rep {kind}, members binary").filter("octet_length(members) > 0")
 
 

@@ -4,7 +4,7 @@ Pre-tokenisation cuts at every single space between two other characters, so the
 the ids of its words one after the other. Each word is encoded once and looked up afterwards: plain
 ones (letters and final punctuation) by the library's model directly, all others by its normaliser,
 pre-tokeniser and model. The tables are emptied at ``WORDS_HELD`` and ``PARTS_HELD`` entries, which
-bounds a worker's memory (to about 200 MB) and changes no result.
+bounds a worker's memory (to about 120 MB) and changes no result.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import re
 import string
 from array import array
 
-WORDS_HELD = 300_000
-PARTS_HELD = 800_000
+WORDS_HELD = 200_000
+PARTS_HELD = 500_000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 #: Up to here a letter is its own normal form, and Python's and the library's letters are the same.
@@ -33,6 +33,18 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+class _Table(dict):
+    """Values that are made when they are first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
 
@@ -50,16 +62,10 @@ class WordEncoder:
         self.special = [t["content"] for t in told["added_tokens"]]
         #: A normaliser that folds white space and case drops spaces: words then need no leading one.
         self.normalize = self.whole.normalizer.normalize_str if self.whole.normalizer else None
-        self.words: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        """The ids of one pre-token, given in bytes' characters."""
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.parts[part] = array("I", [t.id for t in self.tokenize(part)]).tobytes()
-        return ids
+        #: Ids of pre-tokens (in bytes' characters), of words after a space, and of a text's first words.
+        self.parts = _Table(lambda part: array("I", [t.id for t in self.tokenize(part)]).tobytes())
+        self.words = _Table(functools.partial(self._word, "" if self.normalize else " "))
+        self.firsts = _Table(functools.partial(self._word, ""))
 
     def _mapped(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(_ALPHABET)
@@ -71,25 +77,16 @@ class WordEncoder:
             if not letters.isalpha() or max(letters) > _PLAIN:
                 break
             if k and not self.normalize:
-                out.append(self._part(_ALPHABET[10]))
-            out.append(self._part(self._mapped(letters.lower() if self.normalize else letters if k else lead + letters)))
+                out.append(self.parts[_ALPHABET[10]])
+            out.append(self.parts[self._mapped(letters.lower() if self.normalize else letters if k else lead + letters)])
             if len(letters) < len(line):
-                out.append(self._part(line[len(letters):]))
+                out.append(self.parts[line[len(letters):]])
         else:
             return b"".join(out)
         word = lead + word
         if any(s in word for s in self.special):
             return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-        return b"".join(self._part(p) for p, _ in self.split_up(self.normalize(word) if self.normalize else word))
-
-    def _looked_up(self, held: dict[str, bytes], lead: str, words: list[str]) -> bytes:
-        try:
-            return b"".join([held[w] for w in words])
-        except KeyError:
-            for w in set(words):
-                if w not in held:
-                    held[w] = self._word(lead, w)
-            return b"".join([held[w] for w in words])
+        return b"".join(self.parts[p] for p, _ in self.split_up(self.normalize(word) if self.normalize else word))
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
@@ -97,11 +94,11 @@ class WordEncoder:
             if len(held) > most:
                 held.clear()
         if self.normalize:
-            return self._looked_up(self.words, "", text.replace("\n", " ").split(" "))
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         uneven = ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
                   or any(c in text for c in _RARE_SPACE))
         first, *others = _INNER_SPACE.split(text) if uneven else text.split(" ")
-        return self._looked_up(self.firsts, "", [first]) + self._looked_up(self.words, " ", others)
+        return self.firsts[first] + b"".join(map(self.words.__getitem__, others))
 
 
 @functools.lru_cache(maxsize=2)
