@@ -43,6 +43,19 @@ def test_threshold_is_the_quantile_of_bad_documents():
     assert abs((both < model.threshold).mean() - 0.25) < 0.01
 
 
+def test_threshold_covers_all_labelled_documents(llm_spark, monkeypatch):
+    """With a sample far smaller than the labels, as many labelled documents are rejected as are labelled bad."""
+    monkeypatch.setattr(quality_rank, "SAMPLE", 60)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read_table(llm_spark, sf, "documents"), read_table(llm_spark, sf, "labels").filter("quality IN (0, 1)")
+    # Labels that the text doesn't tell, so that a sample's quantile isn't all rows' one.
+    labels = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 < 4, 1 - F.col("quality")).otherwise(F.col("quality")))
+    model = quality_rank.fit(docs, labels)
+    rows = docs.select("doc_id", quality_rank.score_column(model).alias("s")).join(labels, "doc_id").collect()
+    assert len(rows) > 4 * quality_rank.SAMPLE
+    assert abs(sum(r["s"] < quality_rank.ACCEPT for r in rows) - sum(r["quality"] == 0 for r in rows)) <= 1
+
+
 def test_quality_of_odd_rows(llm_spark, odd, nothing):
     labels = llm_spark.createDataFrame([(3, 0), (3, 1), (7, 1), (8, 1), (None, 1), (12, None), (15, 0), (99, 1)], "doc_id long, quality int")
     model = quality_rank.fit(odd, labels)

@@ -5,8 +5,9 @@ probability ``sigmoid(strength difference)``. ``w`` minimises the logistic loss
 differences of such pairs. The threshold is the quantile of the strengths at the share of bad
 documents among all labelled ones, and scores are shifted so that it lies at ``ACCEPT``.
 
-The fit reads a bounded sample: at most ``SAMPLE`` rows of each label, by the hash of their id.
-The shares of the labels are counted over all labelled rows.
+The weights are fitted on a bounded sample: at most ``SAMPLE`` rows of each label, by the hash of their
+id. The threshold isn't the sample's: the shares of the labels are counted over all labelled rows, and the
+quantile is taken over the strengths of all labelled documents, one for each id (the least of repeated ones).
 
 Cases: a null text is empty and is scored like any other. Null labels are left out; a document
 with contradicting labels counts as bad. Without labels of both kinds every score is ``ACCEPT``
@@ -23,12 +24,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from voltlattice.llm.common import crc_fold, text_of
+from voltlattice.llm.common import crc_fold, materialize, text_of
 
 #: Labelled rows of each class that a fit reads at most.
 SAMPLE = 4000
 #: Opponents of each sampled row in the pairs.
 OPPONENTS = 8
+#: Up to half as many labelled documents, their quantile is exact; from there its rank is off by at most 1 in ACCURACY.
+ACCURACY = 100_000
 #: Scores from here on are predicted as good.
 ACCEPT = 0.7
 RIDGE = 1e-3
@@ -131,7 +134,22 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col:
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x = {label: np.array([r["x"] for r in rows if r["label"] == label]).reshape(-1, 18) for label in (0, 1)}
     total = sum(shares.values())
-    return train(x[1], x[0], shares.get(0, 0) / total if total else 0.0)
+    bad_share = shares.get(0, 0) / total if total else 0.0
+    model = train(x[1], x[0], bad_share)
+    if len(x[0]) and len(x[1]):
+        model.threshold = threshold(model, docs, known, bad_share, id_col, text_col)
+    return model
+
+
+def threshold(model: RankModel, docs: DataFrame, known: DataFrame, bad_share: float, id_col: str, text_col: str) -> float:
+    """Midway between the quantile of all labelled documents' strengths and the next strength above it."""
+    strength = F.pandas_udf(lambda t: pd.Series(model.strengths(np.array([features(x) for x in t]))), T.DoubleType())
+    # Strengths are computed before the join, so no text is shuffled.
+    made = docs.select(F.col(id_col).alias("id"), strength(text_of(text_col)).alias("s")).groupBy("id").agg(F.min("s").alias("s"))
+    made = materialize(made.join(known, "id", "left_semi").select("s"), "strengths")
+    at = made.agg(F.percentile_approx("s", bad_share, ACCURACY)).first()[0]
+    upper = made.filter(F.col("s") > at).agg(F.min("s")).first()[0]
+    return at if upper is None else (at + upper) / 2
 
 
 def score_column(model: RankModel, text_col: str | Column = "text") -> Column:
