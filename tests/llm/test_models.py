@@ -56,6 +56,16 @@ def test_threshold_covers_all_labelled_documents(llm_spark, monkeypatch):
     assert abs(sum(r["s"] < quality_rank.ACCEPT for r in rows) - sum(r["quality"] == 0 for r in rows)) <= 1
 
 
+def test_a_repeated_id_counts_once_in_a_fit(llm_spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = read_table(llm_spark, sf, "documents").limit(60).localCheckpoint(), read_table(llm_spark, sf, "labels")
+    one = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(1).localCheckpoint()
+    copies = docs.union(one.crossJoin(llm_spark.range(300).select()))
+    plain, repeated = quality_rank.fit(docs, labels), quality_rank.fit(copies, labels)
+    assert copies.count() == 360
+    assert np.allclose(plain.weights, repeated.weights) and plain.threshold == pytest.approx(repeated.threshold)
+
+
 def test_quality_of_odd_rows(llm_spark, odd, nothing):
     labels = llm_spark.createDataFrame([(3, 0), (3, 1), (7, 1), (8, 1), (None, 1), (12, None), (15, 0), (99, 1)], "doc_id long, quality int")
     model = quality_rank.fit(odd, labels)

@@ -11,7 +11,8 @@ quantile is taken over the strengths of all labelled documents, one for each id
 
 Cases: a null text is empty and is scored like any other. Null labels are left out; a document
 with contradicting labels counts as bad. Without labels of both kinds every score is ``ACCEPT``
-(nothing is rejected). Repeated rows are scored alike, an empty table gives an empty result.
+(nothing is rejected). Repeated rows are scored alike; a fit counts an id once, by the least of its rows'
+features. An empty table gives an empty result.
 Only the text decides; other columns are kept and never read.
 """
 
@@ -128,9 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col:
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         picked = part if picked is None else picked.unionByName(part)
     shape = F.pandas_udf(lambda t: pd.Series([features(x) for x in t]), T.ArrayType(T.DoubleType()))
-    # At most 2 * SAMPLE ids, so the broadcast is bounded.
+    # At most 2 * SAMPLE ids, so the broadcast is bounded; one row for each, so what is collected is too.
     rows = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(picked), "id")
-            .select("id", "label", shape("t").alias("x")).collect())
+            .select("id", "label", shape("t").alias("x")).groupBy("id", "label").agg(F.min("x").alias("x")).collect())
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x = {label: np.array([r["x"] for r in rows if r["label"] == label]).reshape(-1, 18) for label in (0, 1)}
     total = sum(shares.values())
