@@ -1,3 +1,4 @@
+import inspect
 import json
 import threading
 
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from test_features import make_hourly
 from voltlattice import schemas
-from voltlattice.operators import forest, metrics
+from voltlattice.catalog import forecasts
+from voltlattice.operators import boosting, forest, metrics
 from voltlattice.plans import serving, training
 from voltlattice.session import shared_dir
 from voltlattice.sources import files
@@ -108,3 +110,23 @@ def test_late_event_does_not_replace_newer_status(spark):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     jobs.upsert_latest(stream, f"{root}/out", f"{root}/state").awaitTermination()
     assert [r.n for r in jobs.latest_status(spark.read.parquet(f"{root}/out").drop("batch")).collect()] == [1]
+
+
+def test_registered_models_have_the_plans_sizes(spark, sf_dir, monkeypatch):
+    asked = {}
+
+    def told(name, fn):
+        def stub(*args, **kwargs):
+            bound = inspect.signature(fn).bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked[name] = {k: v for k, v in bound.arguments.items() if k in ("trees", "depth", "min_leaf", "max_bins", "rounds")}
+        return stub
+
+    monkeypatch.setattr(forecasts, "_held", {})
+    for name, module, attribute in (("forest", forest, "train"), ("job", training, "train_and_evaluate"),
+                                    ("demand", boosting, "SessionDemandModel"), ("wait", boosting, "WaitTimeModel")):
+        monkeypatch.setattr(module, attribute, told(name, getattr(module, attribute)))
+    for build in (forecasts.model, forecasts.trained, forecasts.demand_model, forecasts.wait_model):
+        build(spark, sf_dir)
+    full = {"trees": 200, "depth": 16, "min_leaf": 10, "max_bins": 128}
+    assert asked == {"forest": full, "job": full, "demand": {"trees": 100, "depth": 8}, "wait": {"rounds": 80, "depth": 4}}

@@ -1,6 +1,7 @@
 """Forest, booster and the jobs built on them. Checked by invariants instead of SQL.
 
-Models here are small; the library defaults are those of the full-size jobs.
+Models have the plans' own sizes. Only ``ml_5_tree_predictions`` and ``snk_4_save_model`` fit a
+``SMALL`` forest, because their SQL states its number of trees and depth.
 """
 
 from pyspark.sql import functions as F
@@ -39,11 +40,19 @@ def features(spark, sf_dir):
 
 
 def model(spark, sf_dir):
-    return once(spark, sf_dir, "forest", lambda: forest.train(features(spark, sf_dir).filter("split = 'train'"), **SMALL))
+    return once(spark, sf_dir, "forest", lambda: forest.train(features(spark, sf_dir).filter("split = 'train'")))
+
+
+def small_model(spark, sf_dir):
+    return once(spark, sf_dir, "small-forest", lambda: forest.train(features(spark, sf_dir).filter("split = 'train'"), **SMALL))
 
 
 def trained(spark, sf_dir):
-    return once(spark, sf_dir, "trained", lambda: training.train_and_evaluate(
+    return once(spark, sf_dir, "trained", lambda: training.train_and_evaluate(history(spark, sf_dir)))
+
+
+def small_trained(spark, sf_dir):
+    return once(spark, sf_dir, "small-trained", lambda: training.train_and_evaluate(
         history(spark, sf_dir), SMALL["trees"], SMALL["depth"], SMALL["min_leaf"], 42, SMALL["max_bins"]
     ))
 
@@ -83,7 +92,8 @@ def importances(spark, sf_dir):
 @query("ml_5_tree_predictions", """SELECT station_id, "timestamp", CAST(8 AS INTEGER) AS n_trees, TRUE AS mean_is_prediction FROM labelled""")
 def tree_predictions(spark, sf_dir):
     """The mean of the per-tree values is the forest's prediction on every row."""
-    trees = forest.tree_predictions(model(spark, sf_dir), scored(spark, sf_dir))
+    small = small_model(spark, sf_dir)
+    trees = forest.tree_predictions(small, forest.predict(small, features(spark, sf_dir)))
     values = F.col("tree_predictions")
     return trees.select(
         "station_id", "timestamp", F.size(values).alias("n_trees"),
@@ -140,7 +150,7 @@ def baseline_side(spark, sf_dir):
 
 def demand_model(spark, sf_dir):
     return once(spark, sf_dir, "demand", lambda: boosting.SessionDemandModel(
-        fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir), trees=8, depth=5
+        fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir)
     ))
 
 
@@ -159,7 +169,7 @@ def session_demand_metrics(spark, sf_dir):
 
 def wait_model(spark, sf_dir):
     return once(spark, sf_dir, "wait", lambda: boosting.WaitTimeModel(
-        fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir), rounds=5
+        fx.sessions(spark, sf_dir), fx.stations(spark, sf_dir)
     ))
 
 
@@ -191,8 +201,7 @@ def evaluation_report(spark, sf_dir):
     return back.select("dataset.featured_rows", "splits.test.rows", F.size("feature_cols").alias("n_features"), "target_col")
 
 
-def saved(spark, sf_dir):
-    result = trained(spark, sf_dir)
+def saved(spark, result):
     return files.save_model(result.model, shared_dir(spark, "model"), training.model_metadata(result))
 
 
@@ -200,7 +209,7 @@ def saved(spark, sf_dir):
     SELECT 'RandomForestRegressor' AS model_type, CAST({SMALL["trees"]} AS BIGINT) AS n_estimators, CAST({SMALL["depth"]} AS BIGINT) AS max_depth,
       CAST(16 AS BIGINT) AS n_features, count(*) AS rows FROM labelled WHERE split = 'train'""")
 def save_model(spark, sf_dir):
-    _, metadata = files.load_model(spark, saved(spark, sf_dir))
+    _, metadata = files.load_model(spark, saved(spark, small_trained(spark, sf_dir)))
     return metadata.select("model_type", "n_estimators", "max_depth", "n_features", "splits.train.rows")
 
 
@@ -208,7 +217,7 @@ def save_model(spark, sf_dir):
 def load_model(spark, sf_dir):
     """A reloaded model predicts what the fitted one does."""
     result = trained(spark, sf_dir)
-    loaded, _ = files.load_model(spark, saved(spark, sf_dir))
+    loaded, _ = files.load_model(spark, saved(spark, result))
     test = result.features.filter("split = 'test'")
     first = forest.predict(result.model, test).withColumnRenamed("predicted_occupancy", "first").drop("predicted_status")
     return forest.predict(loaded, first).select(
@@ -239,7 +248,7 @@ def explain_requests(spark, sf_dir):
     df = serving.explain_requests(fx.requests(spark, sf_dir), history(spark, sf_dir), model(spark, sf_dir))
     path = shared_dir(spark, "explained")
     df = materialize(df, "explained")
-    files.append_log(files.log_rows(df, "small-forest"), path)
+    files.append_log(files.log_rows(df, "forest"), path)
     logged = files.read_log(spark, path).groupBy("station_id").agg(F.count(F.lit(1)).alias("n_logged"))
     spread = df.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n"), pround(F.avg("tree_dispersion.tree_std"), 4).alias("mean_std"),
