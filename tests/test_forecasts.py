@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from test_features import make_hourly
 from voltlattice import schemas
-from voltlattice.catalog import forecasts
+from voltlattice.catalog import aggregates, forecasts
 from voltlattice.operators import boosting, forest, metrics
 from voltlattice.plans import serving, training
 from voltlattice.session import shared_dir
@@ -130,3 +130,27 @@ def test_registered_models_have_the_plans_sizes(spark, sf_dir, monkeypatch):
         build(spark, sf_dir)
     full = {"trees": 200, "depth": 16, "min_leaf": 10, "max_bins": 128}
     assert asked == {"forest": full, "job": full, "demand": {"trees": 100, "depth": 8}, "wait": {"rounds": 80, "depth": 4}}
+
+
+def test_model_queries_cover_all_feature_rows(spark, sf_dir, result, monkeypatch):
+    """Train and validation rows too; a small model stands in, as only rows are counted."""
+    monkeypatch.setattr(forecasts, "model", lambda *_: result.model)
+    rows = forecasts.features(spark, sf_dir)
+    n = rows.count()
+    assert n > rows.filter("split = 'test'").count()
+    assert forecasts.tree_dispersion(spark, sf_dir).count() == n
+    assert forecasts.feature_context(spark, sf_dir).filter("position = 0").count() == n
+    assert {r.n_rows for r in forecasts.ablation(spark, sf_dir).collect()} == {n}
+
+
+def test_dashboard_values_are_those_of_its_tables(spark, sf_dir, monkeypatch):
+    tables = {"a": spark.sql("SELECT * FROM VALUES (1, 'x'), (2, NULL) AS t(k, v)"), "b": spark.sql("SELECT 1 AS k WHERE false")}
+    monkeypatch.setattr(aggregates.network, "network_dashboard", lambda *_: tables)
+    first = {r["name"]: (r.n, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()}
+    assert first["a"][0] == 2 and first["b"] == (0, None)
+    tables["a"] = spark.sql("SELECT * FROM VALUES (2, NULL), (1, 'x') AS t(k, v)")
+    assert {r["name"]: (r.n, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()} == first
+    tables["a"] = spark.sql("SELECT * FROM VALUES (2, NULL), (1, 'y') AS t(k, v)")
+    assert {r["name"]: (r.n, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()}["a"] != first["a"]
+    monkeypatch.undo()
+    assert aggregates.dashboard_values(spark, sf_dir).count() == 19

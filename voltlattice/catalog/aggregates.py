@@ -306,3 +306,17 @@ def dashboard_tables(spark, sf_dir):
     for part in counted[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("job_9_dashboard_values")
+def dashboard_values(spark, sf_dir):
+    """Rows of every dashboard table, and a digest of all its values that doesn't depend on their order."""
+    tables = network.network_dashboard(fx.stations(spark, sf_dir), fx.sessions(spark, sf_dir), fx.status(spark, sf_dir))
+    out = None
+    for name, table in tables.items():
+        # As JSON, because a map or a null wouldn't count in a hash of the columns.
+        row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        part = table.select(row.alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row").cast("decimal(38, 0)")).alias("digest"))
+        part = part.select(F.lit(name).alias("name"), "n", "digest")
+        out = part if out is None else out.unionByName(part)
+    return out

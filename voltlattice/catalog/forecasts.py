@@ -103,15 +103,14 @@ def tree_predictions(spark, sf_dir):
 
 @query("agg_21_tree_dispersion")
 def tree_dispersion(spark, sf_dir):
-    trees = forest.tree_predictions(model(spark, sf_dir), features(spark, sf_dir).filter("split = 'test'"))
+    trees = forest.tree_predictions(model(spark, sf_dir), features(spark, sf_dir))
     return forest.add_tree_dispersion(trees).select("station_id", "timestamp", "tree_dispersion.*")
 
 
 @query("top_10_feature_context")
 def feature_context(spark, sf_dir):
     items = forest.top_feature_context(model(spark, sf_dir), 5)
-    rows = features(spark, sf_dir).filter("split = 'test'")
-    return rows.select("station_id", "timestamp", F.posexplode(items).alias("position", "item")).select(
+    return features(spark, sf_dir).select("station_id", "timestamp", F.posexplode(items).alias("position", "item")).select(
         "station_id", "timestamp", "position", "item.*"
     )
 
@@ -119,7 +118,7 @@ def feature_context(spark, sf_dir):
 @query("ml_8_ablation")
 def ablation(spark, sf_dir):
     """Mean change of the prediction per zeroed feature group."""
-    rows = forest.ablation(model(spark, sf_dir), features(spark, sf_dir).filter("split = 'test'"))
+    rows = forest.ablation(model(spark, sf_dir), features(spark, sf_dir))
     return rows.groupBy("feature_group").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("baseline").alias("baseline"), F.avg("ablated").alias("ablated"),
         F.avg("delta").alias("delta"),
