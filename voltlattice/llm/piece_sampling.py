@@ -3,7 +3,8 @@
 A text is cut before each space; a word with its space (written as the piece alphabet's meta space)
 is one lattice, whose nodes are the places between characters and whose edges are the vocabulary's
 pieces. Characters without a piece of their own, and a literal meta space, have an edge of byte
-pieces, so that every text has a path and decoding is exact. Forward filtering sums the weights of all paths to
+pieces, so that every text has a path and decoding is exact. Pieces with a meta space after their first
+character (runs of white space) are no edges, because texts are cut at every space: they are never sampled. Forward filtering sums the weights of all paths to
 each node; from the end backward, an edge is drawn in proportion to the paths that use it.
 
 The draws are hashes of the row's key, the word's place in the text and the step, so that a row's
