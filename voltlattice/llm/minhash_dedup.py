@@ -10,18 +10,20 @@ hash of either collection is the key of a table, so that HALF**2 tables of two-h
 below 2 * (1 - s)**HALF: with HALF = 6 that is 2.3e-5 at s = 0.85 and 1.3e-4 at s = 0.8.
 
 1. Equal sets are one class, found by their size and a 128-bit digest. Only one member goes on.
-2. Keys that one class has alone are settled. A key's classes are cut into blocks of ``BLOCK``, and
-   each pair of blocks is a group of its own, so that no key meets in one task.
-3. In a group, first only the min-hashes are looked at: classes go on that have a candidate, a class
-   with a fitting size that agrees in ``AGREED`` hashes. A pair is a candidate under its first
-   common key only.
-4. The sets of those are built from their texts and compared in full. Pairs that the group has
-   connected already are skipped; what comes out are links that span the components, never the
-   pairs of a group.
+2. Keys that one class has alone are settled. A pair of classes is a candidate if their sizes allow the
+   similarity and they agree in ``AGREED`` hashes.
+3. Only components matter, so each key's classes are first compared with a leader, the one that shares
+   keys with most others: one pair a class, the same pair of several keys once. A second round takes a
+   leader among those that the first left apart. Pairs are compared on full sets, built from the texts.
+4. Keys whose classes are now in one component are settled, and so are keys of two classes. What is left
+   is compared in blocks: the classes of the key's largest component in blocks of their own, each with
+   every block of the others, never two blocks of what is connected already. So a class of a large
+   group is one row, and only those that stand apart are repeated. First only min-hashes are looked at;
+   the sets of classes with candidates follow. A pair is a candidate under its first common key only.
 5. Components by star contraction; see ``graph``.
 
-The work on one key is quadratic in its distinct sets, in array operations of a few nanoseconds a
-shingle and of no rows: that is what similarity without transitivity takes.
+The work on classes that stay apart under one key is quadratic in their number, in array operations of
+a few nanoseconds a shingle: that is what similarity without transitivity takes.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing. Rows with the
 same id are one document with several texts: they share a component. A row with a null id is linked
@@ -43,7 +45,10 @@ from voltlattice.llm.graph import components
 
 WORDS = 5
 HALF = 6
-BLOCK = 256
+#: Classes of a block, and bytes of their sets: what a task holds of a key at once is two blocks.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: Rounds of leaders.
+ROUNDS = 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Min-hashes, of 2 * HALF, that two sets must share to be compared. Sets of similarity 0.85 share
@@ -161,14 +166,75 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return _shared(pairs, _KEY)
 
 
-def _blocks(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every pair of blocks of a key with the rows of both: their chunk, set size and min-hashes."""
-    sizes = keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("size"))
-    placed = (keyed.join(sizes, _KEY).withColumn("chunks", F.ceil(F.col("size") / BLOCK))
-              .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-              .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
-    return placed.select(*_KEY, F.least("chunk", "with").alias("first"), F.greatest("chunk", "with").alias("second"), "chunk", "rep").join(
-        classes.select("rep", "n", *_HASHES), "rep")
+def _pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each leader with the classes of its keys that it may be linked to, once.
+
+    ``members`` holds the keys with rep, component, degree and ``apart``: whether it can be a leader now.
+    """
+    leaders = members.filter("apart").groupBy(*_KEY).agg(F.max_by(F.struct("rep", "component"), F.struct("degree", "rep")).alias("x"))
+    pairs = members.join(leaders, _KEY).filter("component != x.component").select(F.col("x.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    told = classes.select("rep", "n", F.array(*_HASHES).alias("hashes"))
+    for side in ("a", "b"):
+        pairs = pairs.join(told.select(F.col("rep").alias(side), F.struct("n", "hashes").alias(f"{side}_told")), side)
+    agreed = F.size(F.filter(F.zip_with("a_told.hashes", "b_told.hashes", lambda x, y: x == y), lambda same: same))
+    low, high = F.least("a_told.n", "b_told.n"), F.greatest("a_told.n", "b_told.n")
+    return pairs.filter((100 * low >= percent * high) & (agreed >= AGREED)).select("a", "b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(u, v): the pairs whose full sets are similar."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    sets = materialize(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), id_col, text_col), "minhash-sets")
+    sides = pairs.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("b_set")), "b")
+    sides = sides.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("a_set")), "a")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            linked = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["a_set"], batch["b_set"])]
+            yield batch.loc[np.array(linked, bool), ["a", "b"]].rename(columns={"a": "u", "b": "v"})
+
+    return sides.select("a", "b", "a_set", "b_set").mapInPandas(compared, f"u {kind}, v {kind}")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[spot] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _labelled(keyed: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The keys' classes with the component that the links so far put them in."""
+    if found is None:
+        return keyed.withColumn("component", F.col("rep"))
+    labels = components(found).select(F.col("u").alias("rep"), F.col("v").alias("_least"))
+    return keyed.join(labels, "rep", "left").withColumn("component", F.coalesce("_least", "rep")).drop("_least")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of keys with three classes or more in two components or more, and whether they are apart from the largest."""
+    counts = members.groupBy(*_KEY, "component").agg(F.count(F.lit(1)).alias("size"))
+    keys = counts.groupBy(*_KEY).agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("several"),
+                                     F.max_by("component", F.struct("size", "component")).alias("major"))
+    keys = keys.filter("several > 1 AND all > 2").select(*_KEY, "major")
+    return members.drop("apart").join(keys, _KEY).withColumn("apart", F.col("component") != F.col("major")).drop("major")
+
+
+def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of blocks of a key with the rows of both: their component, chunk, set size and min-hashes.
+
+    Chunks from 0 up hold the classes apart from the largest component, those from -1 down that component.
+    """
+    sized = members.join(classes.select("rep", "n", *_HASHES), "rep")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long")
+    chunks = members.join(classes.select("rep", "n"), "rep").groupBy(*_KEY, "apart").agg(needed.alias("chunks"))
+    each = chunks.groupBy(*_KEY).agg(F.max(F.when(F.col("apart"), F.col("chunks"))).alias("others"), F.max(F.when(~F.col("apart"), F.col("chunks"))).alias("own"))
+    spot = F.pmod(F.xxhash64("rep"), F.when(F.col("apart"), F.col("others")).otherwise(F.col("own")))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    met = F.when(F.col("apart"), F.sequence(-F.col("own"), F.col("others") - one)).otherwise(F.sequence(zero, F.col("others") - one))
+    placed = (sized.join(each, _KEY).withColumn("chunk", F.when(F.col("apart"), spot).otherwise(-spot - 1))
+              .withColumn("with", F.explode(met)))
+    return placed.select(*_KEY, F.least("chunk", "with").alias("first"), F.greatest("chunk", "with").alias("second"), "chunk", "rep", "component", "n", *_HASHES)
 
 
 def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,8 +255,9 @@ def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataF
     return rows.mapInPandas(built, f"rep {kind}, members binary").filter("octet_length(members) > 0")
 
 
-def _candidates(x: int, ys: np.ndarray, table: int, other: int, sizes: np.ndarray, hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Of ``ys``, those that first share this table with ``x``, whose sizes allow the similarity and that agree in enough hashes."""
+def _candidates(x: int, ys: np.ndarray, table: int, other: int, sizes: np.ndarray, hashes: np.ndarray, comps: np.ndarray, percent: int) -> np.ndarray:
+    """Of ``ys``, those of another component that first share this table with ``x``, whose sizes allow the similarity and that agree in enough hashes."""
+    ys = ys[comps[ys] != comps[x]]
     same = hashes[ys] == hashes[x]
     low, high = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
     agreed = same.sum(1)
@@ -207,18 +274,18 @@ def _sides(chunks: np.ndarray, first: int, second: int) -> Iterator[tuple[int, n
         yield x, right[right > x] if first == second else right
 
 
-def _plausible(sizes: np.ndarray, hashes: np.ndarray, chunks: np.ndarray, group: tuple, percent: int) -> np.ndarray:
+def _plausible(sizes: np.ndarray, hashes: np.ndarray, comps: np.ndarray, chunks: np.ndarray, group: tuple, percent: int) -> np.ndarray:
     """The places of rows that have a candidate."""
     table, other, _, first, second = group
     hit = np.zeros(len(sizes), bool)
     for x, ys in _sides(chunks, first, second):
-        found = _candidates(x, ys, table, other, sizes, hashes, percent)
+        found = _candidates(x, ys, table, other, sizes, hashes, comps, percent)
         hit[found] = True
         hit[x] |= len(found) > 0
     return np.flatnonzero(hit)
 
 
-def _linked(reps: np.ndarray, members: list[bytes], hashes: np.ndarray, chunks: np.ndarray, group: tuple, percent: int) -> list[tuple]:
+def _linked(reps: np.ndarray, members: list[bytes], hashes: np.ndarray, comps: np.ndarray, chunks: np.ndarray, group: tuple, percent: int) -> list[tuple]:
     """Links that span what the full sets of a group connect."""
     table, other, _, first, second = group
     sets = [np.frombuffer(m, np.uint64) for m in members]
@@ -231,15 +298,13 @@ def _linked(reps: np.ndarray, members: list[bytes], hashes: np.ndarray, chunks:
             x = parent[x]
         return x
 
+    firsts: dict = {}
+    for k, c in enumerate(comps.tolist()):  # what is connected already
+        parent[k] = firsts.setdefault(c, k)
     links = []
     for x, ys in _sides(chunks, first, second):
-        for y in _candidates(x, ys, table, other, sizes, hashes, percent).tolist():
-            if root(x) == root(y):
-                continue
-            small, large = (sets[x], sets[y]) if sizes[x] <= sizes[y] else (sets[y], sets[x])
-            spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[spot] == small).sum())
-            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+        for y in _candidates(x, ys, table, other, sizes, hashes, comps, percent).tolist():
+            if root(x) != root(y) and _similar(sets[x], sets[y], percent):
                 parent[root(y)] = root(x)
                 links.append((reps[x], reps[y]))
     return links
@@ -272,26 +337,34 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
     """(u, v): links between classes that span their components."""
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = materialize(_keyed(classes), "minhash-keys")
-    blocks = _sorted_groups(_blocks(keyed, classes))
+    sizes = keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("size"))
+    degrees = keyed.join(sizes, _KEY).groupBy("rep").agg(F.sum("size").alias("degree"))
+    members = _labelled(keyed.join(degrees, "rep"), None).withColumn("apart", F.lit(True))
+    found = None
+    for _ in range(ROUNDS):
+        pairs = materialize(_pairs(members, classes, percent), "minhash-pairs")
+        linked = _verified(docs, pairs, id_col, text_col, percent)
+        found = materialize(linked if found is None else found.unionByName(linked), "minhash-links")
+        members = materialize(_open(_labelled(members.drop("component"), found)), "minhash-open")
+    blocks = _sorted_groups(_blocks(members, classes))
 
     def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, groups in _by_group(batches):
-            sizes, hashes, chunks = rows["n"].to_numpy(), rows[_HASHES].to_numpy(np.int64), rows["chunk"].to_numpy()
-            kept = [a + _plausible(sizes[a:b], hashes[a:b], chunks[a:b], group, percent) for a, b, group in groups]
+            told = rows["n"].to_numpy(), rows[_HASHES].to_numpy(np.int64), rows["component"].to_numpy(), rows["chunk"].to_numpy()
+            kept = [a + _plausible(*(x[a:b] for x in told), group, percent) for a, b, group in groups]
             yield rows.iloc[np.concatenate(kept) if kept else []]
 
     narrow = materialize(blocks.mapInPandas(narrowed, blocks.schema), "minhash-candidates")
     sets = _sets(docs, narrow.select("rep").distinct(), id_col, text_col)
-    full = _sorted_groups(narrow.select(*_GROUP, "chunk", "rep", *_HASHES).join(sets, "rep"))
+    full = _sorted_groups(narrow.select(*_GROUP, "chunk", "rep", "component", *_HASHES).join(sets, "rep"))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, groups in _by_group(batches):
-            reps, members = rows["rep"].to_numpy(), rows["members"].tolist()
-            hashes, chunks = rows[_HASHES].to_numpy(np.int64), rows["chunk"].to_numpy()
-            found = [link for a, b, group in groups for link in _linked(reps[a:b], members[a:b], hashes[a:b], chunks[a:b], group, percent)]
-            yield pd.DataFrame(found, columns=["u", "v"]).astype(rows["rep"].dtype)
+            told = rows["rep"].to_numpy(), rows["members"].tolist(), rows[_HASHES].to_numpy(np.int64), rows["component"].to_numpy(), rows["chunk"].to_numpy()
+            spans = [link for a, b, group in groups for link in _linked(*(x[a:b] for x in told), group, percent)]
+            yield pd.DataFrame(spans, columns=["u", "v"]).astype(rows["rep"].dtype)
 
-    return full.mapInPandas(compared, f"u {kind}, v {kind}")
+    return found.unionByName(full.mapInPandas(compared, f"u {kind}, v {kind}"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
