@@ -83,6 +83,27 @@ def test_minhash_of_a_large_group_of_near_copies(llm_spark, monkeypatch):
     assert got == sorted(brute_components(rows, 85))
 
 
+def test_rows_of_blocks_grow_with_the_copies(llm_spark, monkeypatch):
+    """Near copies of one text, of which many pairs are not linked: each copy is about as many rows whatever the group's size."""
+    counted = {}
+    for n in (500, 2000):
+        rng = np.random.default_rng(n)
+        rows = []
+        for k in range(n):
+            words = [f"b{j}" for j in range(100)]
+            for j in rng.choice(100, 2, replace=False):
+                words[j] = f"n{k}x{j}"
+            rows.append((k, " ".join(words)))
+        seen = []
+        real = minhash_dedup._blocks
+        monkeypatch.setattr(minhash_dedup, "_blocks", lambda members, classes: seen.append(real(members, classes).count()) or real(members, classes))
+        found = minhash_dedup.near_duplicates(llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=80)
+        assert found.count() == n
+        monkeypatch.undo()
+        counted[n] = seen[0]
+    assert counted[2000] <= 5 * max(counted[500], 2000), counted
+
+
 def test_minhash_of_odd_rows(odd, nothing):
     got = {(r["doc_id"], r["n_shingles"]): r for r in rows_of(minhash_dedup.near_duplicates(odd))}
     assert minhash_dedup.near_duplicates(odd).count() == odd.count()
@@ -112,31 +133,56 @@ def test_components_of_chains_and_stars(llm_spark):
 
 
 def brute_lines(rows, min_words=50):
-    """The deletion rule, line by line; ``rows``: distinct (id, text) in ascending order."""
+    """From the definition: a line goes if a run of equal lines around it, as long as it gets at one earlier place, has enough words.
+
+    ``rows``: distinct (id, text) in ascending order.
+    """
     trim = lambda x: x.strip(" \t\n\v\f\r")
-    seqs = [[(k, trim(x)) for k, x in enumerate((t or "").split("\n")) if trim(x)] for _, t in rows]
-    first_line, first_pair = {}, {}
-    for d, seq in enumerate(seqs):
-        for n, (_, x) in enumerate(seq):
-            first_pair.setdefault((seq[n - 1][1], x) if n else None, (d, n))
-    # Every line may anchor a run here: fingerprints only have to hit each run of enough words.
-    for d, seq in enumerate(seqs):
-        for n, (_, x) in enumerate(seq):
-            first_line.setdefault(x, (d, n))
-    out = []
-    for d, ((_, text), seq) in enumerate(zip(rows, seqs)):
-        gone, runs = set(), []
-        for n, (k, x) in enumerate(seq):
-            if n and first_pair[(seq[n - 1][1], x)] < (d, n):
-                runs[-1].append(n)
-            else:
-                runs.append([n])
-        for run in runs:
-            later = any(first_line[seq[n][1]] < (d, n) for n in run)
-            if later and sum(len(SPACE.sub(" ", seq[n][1]).split(" ")) for n in run) >= min_words:
-                gone.update(seq[n][0] for n in run)
-        out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text)
-    return out
+    places = [(d, k, trim(x)) for d, (_, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if trim(x)]
+    first = {}
+    for p, (d, _, _) in enumerate(places):
+        first.setdefault(d, p)
+    words = [len(SPACE.sub(" ", x).split(" ")) for _, _, x in places]
+    where = collections.defaultdict(list)
+    for p, (_, _, x) in enumerate(places):
+        where[x].append(p)
+    same = lambda p, q: p < len(places) and places[p][2] == places[q][2]
+    gone = collections.defaultdict(set)
+    for p, (d, _, x) in enumerate(places):
+        for q in where[x]:
+            if q >= p:
+                break
+            # Only where a run begins: neither place has an equal line before it in its own document.
+            if p > first[d] and q > first[places[q][0]] and same(p - 1, q - 1):
+                continue
+            n = 0
+            while p + n < len(places) and places[p + n][0] == d and places[q + n][0] == places[q][0] and same(p + n, q + n):
+                n += 1
+            if sum(words[p:p + n]) >= min_words:
+                gone[d].update(places[p + k][1] for k in range(n))
+    return ["\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[d]) if gone[d] else text for d, (_, text) in enumerate(rows)]
+
+
+def test_glued_pieces_of_several_documents_stay(llm_spark):
+    """A third document made of two pieces that earlier ones hold, each under the limit, repeats no run of 50 words."""
+    rows = []
+    for k in range(50):
+        a, b, c = (" ".join(f"{name}{k}w{j}" for j in range(20)) for name in "abc")
+        rows += [(3 * k, f"{a}\n{b}\nx{k} end"), (3 * k + 1, f"y{k} head\n{b}\n{c}"), (3 * k + 2, f"{a}\n{b}\n{c}")]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect()) == rows
+
+
+def test_repeated_runs_of_random_lines(llm_spark):
+    """Few distinct lines of many lengths, so that runs overlap, nest and repeat inside a document."""
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"l{k}{j}" for j in range(int(rng.integers(1, 30)))) for k in range(12)] + ["", "  "]
+    rows = [(d, "\n".join(lines[k] for k in rng.integers(0, 14, int(rng.integers(1, 40))))) for d in range(60)]
+    rows += [(60 + d, rows[d][1] + "\n" + rows[d + 1][1]) for d in range(0, 20, 2)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect())
+    assert [t for _, t in got] == brute_lines(rows)
+    assert sum(t != r[1] for (_, t), r in zip(got, rows)) > 10
 
 
 def test_line_dedup_matches_brute_force(llm_spark, sf_dir):
@@ -165,16 +211,13 @@ def test_line_dedup_of_odd_rows(odd, nothing):
 
 
 def test_shared_runs_share_a_fingerprint(llm_spark):
-    """The guarantee of the windows: every shared run of enough words has a selected line in both."""
+    """The guarantee of the windows: every shared run of enough words has a fingerprint in both."""
     rng = np.random.default_rng(3)
     run = [" ".join(f"r{k}{j}" for j in range(int(rng.integers(1, 9)))) for k in range(20)]
     while sum(len(x.split()) for x in run[:-1]) >= 50:
         run.pop()
     rows = [(i, "\n".join([*(f"x{i} {k}" for k in range(int(rng.integers(0, 9)))), *run, *(f"y{i} {k}" for k in range(30))])) for i in range(6)]
-    told = line_dedup._sequences(llm_spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 50)
-    chosen = told.filter("print IS NOT NULL").select("doc", F.col("print").alias("n")).distinct()
-    hashes = collections.defaultdict(set)
-    for r in told.join(chosen, ["doc", "n"]).select("id", "hash").collect():
-        hashes[r["id"]].add(bytes(r["hash"]))
-    shared = {hashlib.md5(x.encode()).digest() for x in run}
-    assert set.intersection(shared, *hashes.values())
+    prints = collections.defaultdict(set)
+    for r in line_dedup.windows(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        prints[r["id"]].add(r["print"])
+    assert set.intersection(*prints.values())

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltlattice.session import apply_recommended, materialize, shared_dir
 
-__all__ = ["Bitmap", "crc_fold", "fresh", "materialize", "partitions", "prepare", "read_table", "shared_dir", "text_of"]
+__all__ = ["Bitmap", "crc_fold", "fresh", "let", "materialize", "partitions", "prepare", "read_table", "shared_dir", "text_of"]
 
 #: Rows of one Arrow batch: bounds the memory of a Python worker when texts are very long.
 BATCH_ROWS = 256
@@ -28,6 +28,11 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for a row, also where ``use`` needs it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}
