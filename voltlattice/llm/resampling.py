@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltlattice.llm.common import materialize, text_of
+from voltlattice.llm.common import let, materialize, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower case.
@@ -58,8 +58,10 @@ def _buckets(features: Column, buckets: int) -> Column:
     return F.transform(features, lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int"))
 
 
-def _line_features(tokens: Column, ngrams: int, buckets: int) -> Column:
-    return _buckets(F.concat(*(_runs(tokens, n) for n in range(1, ngrams + 1))), buckets)
+def _line_features(line: Column, ngrams: int, buckets: int) -> Column:
+    """(n_words, buckets) of a line, whose words are cut once."""
+    return let(words(line), lambda tokens: F.struct(
+        F.size(tokens).alias("n_words"), _buckets(F.concat(*(_runs(tokens, n) for n in range(1, ngrams + 1))), buckets).alias("buckets")))
 
 
 def _crossing_features(text: Column, ngrams: int, buckets: int) -> Column:
@@ -67,11 +69,17 @@ def _crossing_features(text: Column, ngrams: int, buckets: int) -> Column:
 
     The words are numbered by line; a run crosses where its first and last number differ.
     """
-    lines = F.transform(F.split(text, "\n"), words)
-    tokens = F.flatten(lines)
-    line_of = F.flatten(F.transform(lines, lambda ws, k: F.transform(ws, lambda _: k)))
-    crossing = [_runs(tokens, n, lambda p, n=n: F.element_at(line_of, p) != F.element_at(line_of, p + n - 1)) for n in range(2, ngrams + 1)]
-    return _buckets(F.concat(*crossing), buckets)
+    def found(lines: Column) -> Column:
+        line_of = F.flatten(F.transform(lines, lambda ws, k: F.transform(ws, lambda _: k)))
+        return let(F.flatten(lines), lambda tokens: let(line_of, lambda of: crossing(tokens, of)))
+
+    def crossing(tokens: Column, of: Column) -> Column:
+        def runs(n: int) -> Column:
+            return _runs(tokens, n, lambda p: F.element_at(of, p) != F.element_at(of, p + n - 1))
+
+        return _buckets(F.concat(*(runs(n) for n in range(2, ngrams + 1))), buckets)
+
+    return let(F.transform(F.split(text, "\n"), words), found)
 
 
 def _hashes(text: str, *names: str) -> list[Column]:
@@ -87,15 +95,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def distinct_lines(docs: DataFrame, ngrams: int, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(l1, l2, occurrences, n_words, buckets): each distinct line with words, its features computed once."""
     counted = _lines(docs, id_col, text_col).groupBy("line").agg(F.count(F.lit(1)).alias("occurrences"))
-    cut = counted.select(*_hashes("line", "l1", "l2"), "occurrences", words(F.col("line")).alias("tokens")).filter("size(tokens) > 0")
-    return cut.select("l1", "l2", "occurrences", F.size("tokens").alias("n_words"),
-                      _line_features(F.col("tokens"), ngrams, buckets).alias("buckets"))
+    # A generator: a filter on its columns is not pushed below it, where it would compute them once more.
+    cut = counted.select(*_hashes("line", "l1", "l2"), "occurrences", F.inline(F.array(_line_features(F.col("line"), ngrams, buckets))))
+    return cut.filter("n_words > 0")
 
 
 def crossings(docs: DataFrame, ngrams: int, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, d1, d2, buckets): the features that cross lines, one row for each row of ``docs`` that has some."""
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return keyed.select("id", *_hashes("text", "d1", "d2"), _crossing_features(F.col("text"), ngrams, buckets).alias("buckets")).filter("size(buckets) > 0")
+    return keyed.select("id", *_hashes("text", "d1", "d2"), F.inline(F.array(F.struct(_crossing_features(F.col("text"), ngrams, buckets).alias("buckets"))))).filter("size(buckets) > 0")
 
 
 def bucket_counts(lines: DataFrame, crossing: DataFrame | None = None) -> DataFrame:
