@@ -162,8 +162,7 @@ def test_lookups_read_only_the_days_asked_for(spark):
 
 def test_packed_history_gives_the_same_features(spark, tmp_path):
     hourly = make_hourly(spark, drop={(1, 200)})
-    hist.write_packed(hourly, str(tmp_path / "packed"))
-    packed = spark.read.parquet(str(tmp_path / "packed"))
+    packed = hist.update_packed(hourly, str(tmp_path / "packed"))
     times = [START + dt.timedelta(hours=h) for h in (3, 180, 201, 224, 399)]
     asked = spark.createDataFrame([(k, f"STA{k % 4:03d}", t) for k, t in enumerate(t for t in times for _ in range(4))], "request_id int, station_id string, ts timestamp_ntz")
     plain = hist.attach_history(asked, hourly).orderBy("request_id").collect()
@@ -181,3 +180,47 @@ def test_sessions_without_or_before_their_end(spark):
     assert got == {h: int(h in (0, 3, 4, 5, 6, 9)) for h in range(10)}
     report = spine.irregular_sessions(sessions).first()
     assert (report.open_sessions, report.reversed_sessions) == (1, 1)
+
+
+def test_a_second_start_reads_only_new_hours(spark, tmp_path, monkeypatch):
+    hourly = make_hourly(spark, drop={(1, 200)})
+    path = str(tmp_path / "packed")
+    early = START + dt.timedelta(hours=205)
+    read = []
+    real = hist.pack_days
+    monkeypatch.setattr(hist, "pack_days", lambda rows, *a: read.append(rows.count()) or real(rows, *a))
+    hist.update_packed(hourly.filter(F.col("timestamp") <= F.lit(early)), path)
+    hist.update_packed(hourly, path)
+    hist.update_packed(hourly, path)
+    everything = hourly.count()
+    assert read == [hourly.filter(F.col("timestamp") <= F.lit(early)).count(), hourly.filter(F.col("timestamp") > F.lit(early)).count(), 0]
+    # A late hour comes in with the next start that looks back far enough.
+    late = hourly.unionByName(hourly.filter(F.col("timestamp") == F.lit(START + dt.timedelta(hours=199))).limit(1).withColumns(
+        {"timestamp": F.lit(START + dt.timedelta(hours=200)), "station_id": F.lit("STA001"), "occupancy_rate": F.lit(0.125)}))
+    hist.update_packed(late, path, late_hours=300)
+    assert read[-1] < everything
+    shown = lambda df: sorted((r.station_id, r.day, tuple(r.v)) for r in df.select("station_id", "day", "v").collect())
+    assert shown(hist.update_packed(late, path)) == shown(real(late))
+    # One file group a day.
+    folders = [d for d in (tmp_path / "packed" / "days").iterdir() if d.name.startswith("day=")]
+    assert len(folders) == real(late).select("day").distinct().count()
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in folders)
+
+
+def test_quality_report_counts_arrivals_and_lags_across_days(spark):
+    hourly = make_hourly(spark)
+    featured = training.build_training_features(hourly).withColumn("seq", F.floor(F.unix_timestamp(F.col("timestamp").cast("timestamp")) / 3600))
+    clean = quality.dataset_report(featured, "seq", block=7).first()
+    assert clean.is_valid and clean.order_violations == 0 and clean.failed_checks == ""
+    # One station's rows arrive in reverse: every step goes back, across blocks too.
+    one = featured.select(F.min("station_id")).first()[0]
+    back = featured.withColumn("seq", F.when(F.col("station_id") == one, -F.col("seq")).otherwise(F.col("seq")))
+    for block in (1, 7, 1_000_000):
+        row = quality.dataset_report(back, "seq", block=block).first()
+        assert row.order_violations == featured.filter(F.col("station_id") == one).count() - 1
+        assert not row.is_valid and row.failed_checks == "order_violations"
+    # A wrong lag at midnight is seen over the edge of its day's block, one at noon within it.
+    for hour in (0, 12):
+        wrong = featured.withColumn("lag_1h", F.col("lag_1h") + F.when(F.hour("timestamp") == hour, 0.25).otherwise(0.0))
+        first = featured.groupBy("station_id").agg(F.min("timestamp").alias("t")).filter(F.hour("t") == hour).count()
+        assert quality.lag_mismatches(wrong).first()[0] == featured.filter(F.hour("timestamp") == hour).count() - first

@@ -1,3 +1,4 @@
+import dataclasses
 import inspect
 import json
 import threading
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from test_features import make_hourly
 from voltlattice import schemas
 from voltlattice.catalog import aggregates, forecasts
-from voltlattice.operators import boosting, forest, metrics
+from voltlattice.operators import boosting, forest, growing, metrics
 from voltlattice.plans import serving, training
 from voltlattice.session import shared_dir
-from voltlattice.sources import files
+from voltlattice.sources import files, fixtures
+from voltlattice.sources.blobs import read_blob
 from voltlattice.streaming import jobs
 
 
@@ -102,14 +104,135 @@ def test_stream_scores_what_batch_scores(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
 
 
+READING = "station_id string, last_updated timestamp_ntz, n int"
+
+
 def test_late_event_does_not_replace_newer_status(spark):
-    df = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2025-01-02 00:00:00', 1), ('a', timestamp_ntz'2025-01-01 00:00:00', 2) AS t(station_id, last_updated, n)")
+    df = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2025-01-02 00:00:00', 1), ('a', timestamp_ntz'2025-01-01 00:00:00', 2), "
+                   "('b', timestamp_ntz'2025-01-01 00:00:00', 3), ('b', timestamp_ntz'2025-01-03 00:00:00', 4) AS t(station_id, last_updated, n)")
     root = shared_dir(spark, "late")
-    df.filter("n = 1").coalesce(1).write.parquet(f"{root}/in")
-    df.filter("n = 2").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    jobs.upsert_latest(stream, f"{root}/out", f"{root}/state").awaitTermination()
-    assert [r.n for r in jobs.latest_status(spark.read.parquet(f"{root}/out").drop("batch")).collect()] == [1]
+    for n in (1, 2, 3, 4):
+        df.filter(F.col("n") == n).select("station_id", "last_updated", "n").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    assert jobs.read_latest(spark, f"{root}/out", stream.schema).isEmpty()
+    jobs.upsert_latest(stream, f"{root}/out", f"{root}/state", keep=1).awaitTermination()
+    assert sorted(r.n for r in jobs.read_latest(spark, f"{root}/out", stream.schema).collect()) == [1, 4]
+    # Readers see one snapshot, and old ones go: the last and those that are kept.
+    assert jobs._snapshots(spark, f"{root}/out") == [2, 3]
+    # A batch that is replayed starts from the snapshot before it and ends in the same one.
+    batches = []
+    (spark.readStream.schema(READING).parquet(f"{root}/in").writeStream.foreachBatch(lambda b, n: batches.append(b.count()))
+     .option("checkpointLocation", f"{root}/other").trigger(availableNow=True).start().awaitTermination())
+    assert batches == [4]
+    (stream.writeStream.foreachBatch(lambda b, n: None).option("checkpointLocation", f"{root}/third").trigger(availableNow=True).start().awaitTermination())
+    jobs.upsert_latest(stream, f"{root}/out", f"{root}/replay", keep=9).awaitTermination()
+    assert sorted(r.n for r in jobs.read_latest(spark, f"{root}/out", stream.schema).collect()) == [1, 4]
+
+
+def test_a_run_that_is_repeated_replaces_its_rows(spark, result):
+    hourly = make_hourly(spark, hours=300)
+    asked = hourly.filter(F.hour("timestamp") == 9).select(
+        F.monotonically_increasing_id().alias("request_id"), "station_id", F.col("timestamp").cast("string").alias("prediction_time"),
+        "temperature_c", "is_holiday")
+    rows = files.log_rows(serving.score_requests(asked, hourly), "v1")
+    path, n = shared_dir(spark, "log"), rows.count()
+    for _ in range(3):
+        assert files.append_log(rows, path, "run-1") == "run-1"
+    assert files.read_log(spark, path).count() == n > 0
+    files.append_log(rows, path)
+    assert files.read_log(spark, path).count() == 2 * n
+    # Files of a run without an entry in the manifest are no part of the log.
+    rows.write.json(f"{path}/runs/run=unfinished")
+    assert files.read_log(spark, path).count() == 2 * n
+    with pytest.raises(ValueError):
+        files.append_log(rows, path, "../elsewhere")
+
+
+def test_trees_are_those_of_exhaustive_search(spark):
+    """Every split is the best of all, on the sample that the tree drew; nodes, values and gains agree with the rows."""
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.integers(0, 6)), float(rng.normal()), float(rng.integers(0, 2))) for _ in range(400)]
+    rows = [(a, b, c, a * 0.1 + (b > 0) * 0.3 * c + float(rng.normal()) * 0.05) for a, b, c in rows]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    model = forest.train(df, trees=3, depth=4, min_leaf=10, seed=3, max_bins=16, feature_cols=["a", "b", "c"], target="y")
+    edges = growing.bounds(df, ["a", "b", "c"], 16)
+    blocks = growing.binned(df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)), ["a", "b", "c"], "y", edges).collect()
+    for t in model.grown:
+        tree = read_blob(model.path, forest._file(t), growing.NODE)
+        codes = np.concatenate([np.frombuffer(r.codes, np.uint8).reshape(-1, 3) for r in blocks])
+        y = np.concatenate([np.frombuffer(r.target) for r in blocks])
+        w = np.concatenate([growing.sample(3, t, r.part, r.block, len(r.target) // 8) for r in blocks]).astype(float)
+        reached = {0: np.ones(len(y), bool)}
+        for n in range(len(tree)):
+            mine = reached[n]
+            assert tree["rows"][n] == w[mine].sum() and tree["value"][n] == pytest.approx((w * y)[mine].sum() / w[mine].sum())
+            best = 0.0
+            for f in range(3):
+                for b in range(len(edges[f])):
+                    left, right = mine & (codes[:, f] <= b), mine & (codes[:, f] > b)
+                    if w[left].sum() >= 10 and w[right].sum() >= 10:
+                        parts = sum((w * y)[s].sum() ** 2 / w[s].sum() for s in (left, right))
+                        best = max(best, parts - (w * y)[mine].sum() ** 2 / w[mine].sum())
+            if tree["feature"][n] >= 0:
+                assert tree["gain"][n] == pytest.approx(best)
+                f, b, child = tree["feature"][n], tree["bin"][n], tree["child"][n]
+                assert tree["threshold"][n] == edges[f][b]
+                reached[child], reached[child + 1] = mine & (codes[:, f] <= b), mine & (codes[:, f] > b)
+
+
+def test_large_nodes_are_split_by_all_tasks(spark):
+    """The upper parts grown from summed histograms give the trees that one task would grow."""
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(0, 20)), float(rng.normal()), float(rng.normal())) for _ in range(3000)]
+    df = spark.createDataFrame([(a, b, c, float(np.sin(a) + b * c)) for a, b, c in rows], "a double, b double, c double, y double").repartition(5)
+    made = {}
+    for limit in (1 << 20, 300):
+        path = shared_dir(spark, "forest")
+        told = growing.fit(df, ["a", "b", "c"], "y", path, 4, 6, 5, 1, 32, local_rows=limit).collect()
+        assert sorted(r.tree for r in told) == [0, 1, 2, 3]
+        made[limit] = [read_blob(path, forest._file(t), growing.NODE) for t in range(4)]
+
+    def flat(tree, n=0):
+        """A tree in depth-first order, whatever its numbering."""
+        here = [(int(tree["feature"][n]), int(tree["bin"][n]) if tree["feature"][n] >= 0 else -1, float(tree["rows"][n]), round(float(tree["value"][n]), 9))]
+        return here + (flat(tree, tree["child"][n]) + flat(tree, tree["child"][n] + 1) if tree["feature"][n] >= 0 else [])
+
+    for whole, parts in zip(made[1 << 20], made[300]):
+        assert [x[:3] for x in flat(whole)][:1][0][:2] == [x[:3] for x in flat(parts)][:1][0][:2]
+        assert sorted(x for x in flat(whole) if x[0] < 0) == sorted(x for x in flat(parts) if x[0] < 0)
+
+
+def test_a_forest_is_fitted_once_for_a_table(spark, monkeypatch):
+    df = spark.createDataFrame([(float(k % 7), float(k % 3), float(k % 7 > 2)) for k in range(300)], "a double, b double, y double")
+    fits = []
+    real = growing.fit
+    monkeypatch.setattr(growing, "fit", lambda *a, **k: fits.append(1) or real(*a, **k))
+    ask = lambda rows, **k: forest.fitted(rows, **{"trees": 2, "depth": 3, "min_leaf": 5, "feature_cols": ["a", "b"], "target": "y", **k})
+    first = ask(df)
+    assert ask(df.repartition(7)).path == first.path and len(fits) == 1
+    assert ask(df, depth=2).path != first.path and len(fits) == 2
+    assert ask(df.union(df.limit(1))).path != first.path and len(fits) == 3
+
+
+def test_trees_stay_off_the_driver_at_300_by_16(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(rng.normal()), float(rng.normal()), float(rng.normal())) for _ in range(2000)], "a double, b double, y double")
+    model = forest.train(df, trees=300, depth=16, min_leaf=1, feature_cols=["a", "b"], target="y", max_bins=64)
+    rows = forest.tree_predictions(model, df).withColumn("mean", model.mean)
+    for r in rows.limit(50).collect():
+        assert len(r.tree_predictions) == 300
+    assert model.nodes > 300 * 200
+    # What the driver holds of a model is its description.
+    assert len(json.dumps(dataclasses.asdict(model))) < 10_000
+
+
+def test_a_forest_without_rows(spark):
+    df = spark.createDataFrame([], "a double, y double")
+    model = forest.train(df, trees=2, depth=3, feature_cols=["a"], target="y")
+    assert model.grown == [] and model.nodes == 0
+    one = spark.createDataFrame([(1.0, 0.5)], "a double, y double")
+    assert forest.predict(model, one).first().predicted_occupancy is None
+    assert forest.tree_predictions(model, one).first().tree_predictions == []
 
 
 def test_registered_models_have_the_plans_sizes(spark, sf_dir, monkeypatch):
@@ -122,11 +245,12 @@ def test_registered_models_have_the_plans_sizes(spark, sf_dir, monkeypatch):
             asked[name] = {k: v for k, v in bound.arguments.items() if k in ("trees", "depth", "min_leaf", "max_bins", "rounds")}
         return stub
 
-    monkeypatch.setattr(forecasts, "_held", {})
-    for name, module, attribute in (("forest", forest, "train"), ("job", training, "train_and_evaluate"),
+    for name, module, attribute in (("forest", forest, "fitted"), ("job", training, "train_and_evaluate"),
                                     ("demand", boosting, "SessionDemandModel"), ("wait", boosting, "WaitTimeModel")):
         monkeypatch.setattr(module, attribute, told(name, getattr(module, attribute)))
-    for build in (forecasts.model, forecasts.trained, forecasts.demand_model, forecasts.wait_model):
+    rows = spark.createDataFrame([], "split string")
+    monkeypatch.setattr(forecasts, "features", lambda *_: rows)
+    for build in (lambda s, d: forecasts.model(rows), forecasts.trained, forecasts.demand_model, forecasts.wait_model):
         build(spark, sf_dir)
     full = {"trees": 200, "depth": 16, "min_leaf": 10, "max_bins": 128}
     assert asked == {"forest": full, "job": full, "demand": {"trees": 100, "depth": 8}, "wait": {"rounds": 80, "depth": 4}}
@@ -144,13 +268,24 @@ def test_model_queries_cover_all_feature_rows(spark, sf_dir, result, monkeypatch
 
 
 def test_dashboard_values_are_those_of_its_tables(spark, sf_dir, monkeypatch):
-    tables = {"a": spark.sql("SELECT * FROM VALUES (1, 'x'), (2, NULL) AS t(k, v)"), "b": spark.sql("SELECT 1 AS k WHERE false")}
+    """The digest tells values apart and doesn't depend on the order of rows."""
+    shapes = {"a": ("", ["k"], {"v": None, "x": 2}), "b": ("", ["k"], {"v": None})}
+    kind = "k int, v string, x double"
+    tables = {"a": spark.createDataFrame([(1, "x", 0.5), (2, None, None)], kind), "b": spark.createDataFrame([], kind)}
+    monkeypatch.setattr(aggregates, "DASHBOARD", shapes)
     monkeypatch.setattr(aggregates.network, "network_dashboard", lambda *_: tables)
-    first = {r["name"]: (r.n, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()}
-    assert first["a"][0] == 2 and first["b"] == (0, None)
-    tables["a"] = spark.sql("SELECT * FROM VALUES (2, NULL), (1, 'x') AS t(k, v)")
-    assert {r["name"]: (r.n, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()} == first
-    tables["a"] = spark.sql("SELECT * FROM VALUES (2, NULL), (1, 'y') AS t(k, v)")
-    assert {r["name"]: (r.n, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()}["a"] != first["a"]
-    monkeypatch.undo()
-    assert aggregates.dashboard_values(spark, sf_dir).count() == 19
+    told = lambda: {r["name"]: (r.n, r.n_values, r.digest) for r in aggregates.dashboard_values(spark, sf_dir).collect()}
+    first = told()
+    assert first["a"][:2] == (2, 2) and "b" not in first
+    assert sorted(tuple(r) for r in aggregates.dashboard_tables(spark, sf_dir).filter("row_key = '1'").collect()) == [("a", "1", "v", "x"), ("a", "1", "x", "0.50")]
+    tables["a"] = spark.createDataFrame([(2, None, None), (1, "x", 0.5)], kind)
+    assert told() == first
+    tables["a"] = spark.createDataFrame([(2, None, None), (1, "y", 0.5)], kind)
+    assert told()["a"] != first["a"]
+
+
+def test_every_dashboard_table_and_column_is_shown(spark, sf_dir):
+    tables = aggregates.network.network_dashboard(fixtures.stations(spark, sf_dir), fixtures.sessions(spark, sf_dir), fixtures.status(spark, sf_dir))
+    assert tables.keys() == aggregates.DASHBOARD.keys() and len(tables) == 19
+    for name, (_, keys, columns) in aggregates.DASHBOARD.items():
+        assert sorted(tables[name].columns) == sorted([*keys, *columns]), name

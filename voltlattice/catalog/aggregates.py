@@ -1,8 +1,11 @@
 """Operational tables, filters and top-N lists."""
 
-from pyspark.sql import functions as F
+import functools
 
-from voltlattice.catalog.registry import d, query, rnd
+from pyspark.sql import Window as W, functions as F
+
+from voltlattice.catalog.registry import SQL, d, haversine, query, rnd
+from voltlattice.functions import geo
 from voltlattice.functions.rounding import pround
 from voltlattice.operators import dashboard as dash, metrics, windows
 from voltlattice.operators.forest import baseline_predict
@@ -275,48 +278,98 @@ def station_table(spark, sf_dir):
     return dash.station_table(fx.status(spark, sf_dir))
 
 
-@query("top_8_discovery_order", """
-    WITH ordered AS (SELECT station_id, CASE WHEN utilization_pct >= 90 THEN 'FULL' WHEN utilization_pct >= 70 THEN 'BUSY'
-        WHEN utilization_pct >= 40 THEN 'RESERVED' ELSE 'AVAILABLE' END AS status FROM stations JOIN status USING (station_id)),
-      levels AS (SELECT *, CASE ordered.status WHEN 'AVAILABLE' THEN 0 WHEN 'BUSY' THEN 1 WHEN 'RESERVED' THEN 2 ELSE 3 END AS lvl FROM ordered)
-    SELECT station_id, levels.status AS status, 1 + lvl AS level FROM levels ORDER BY lvl, station_id""")
+_DISCOVERY = """
+    places AS (SELECT station_id, stations.city AS city, stations.tariff_per_kwh AS cost_per_kwh, CASE WHEN utilization_pct >= 95 THEN 'CLOSED' WHEN utilization_pct >= 90 THEN 'FULL'
+        WHEN utilization_pct >= 70 THEN 'BUSY' WHEN utilization_pct >= 40 THEN 'RESERVED' ELSE 'AVAILABLE' END AS status,
+        {km} AS distance_km FROM stations JOIN status USING (station_id))"""
+
+
+@query("top_8_discovery_order", f"""
+    WITH {_DISCOVERY.format(km=rnd(haversine(d(-40), d(-60), "stations.latitude", "stations.longitude"), 2))},
+      leveled AS (SELECT *, CASE places.status WHEN 'AVAILABLE' THEN 0 WHEN 'BUSY' THEN 1 WHEN 'RESERVED' THEN 2 WHEN 'FULL' THEN 3 ELSE 4 END AS lvl FROM places)
+    SELECT 'availability' AS sorted_by, CAST(row_number() OVER (PARTITION BY city ORDER BY lvl, station_id) AS INTEGER) AS place, station_id, city, leveled.status AS status, distance_km, cost_per_kwh FROM leveled
+    UNION ALL SELECT 'distance', CAST(row_number() OVER (PARTITION BY city ORDER BY distance_km, station_id) AS INTEGER), station_id, city, leveled.status, distance_km, cost_per_kwh FROM leveled
+    UNION ALL SELECT 'cost', CAST(row_number() OVER (PARTITION BY city ORDER BY cost_per_kwh, station_id) AS INTEGER), station_id, city, leveled.status, distance_km, cost_per_kwh FROM leveled""")
 def discovery_order(spark, sf_dir):
+    """All stations in each of the three orders, with the place they have in it in their city."""
     u = F.col("utilization_pct")
-    shown = fx.status(spark, sf_dir).select(
-        "station_id",
-        F.when(u >= 90, "FULL").when(u >= 70, "BUSY").when(u >= 40, "RESERVED").otherwise("AVAILABLE").alias("status"),
-    )
-    level = F.when(F.col("status") == "AVAILABLE", 1).when(F.col("status") == "BUSY", 2).when(F.col("status") == "RESERVED", 3)
-    return dash.discovery_order(shown, "availability").withColumn("level", level.otherwise(4))
-
-
-@query("job_9_dashboard", """
-    WITH t AS (SELECT 'hourly_sessions' AS name, count(DISTINCT hour) AS n FROM sessions
-      UNION ALL SELECT 'city_hour', count(DISTINCT city) FROM sessions
-      UNION ALL SELECT 'segments', count(DISTINCT user_segment) FROM sessions
-      UNION ALL SELECT 'leaderboard', count(DISTINCT operator) FROM status
-      UNION ALL SELECT 'station_table', count(*) FROM status
-      UNION ALL SELECT 'expansion', count(DISTINCT city) FROM sessions)
-    SELECT name, n FROM t""")
+    cost = fx.stations(spark, sf_dir).select("station_id", F.col("tariff_per_kwh").alias("cost_per_kwh"))
+    shown = fx.status(spark, sf_dir).join(cost, "station_id").select(
+        "station_id", "city", "cost_per_kwh",
+        F.when(u >= 95, "CLOSED").when(u >= 90, "FULL").when(u >= 70, "BUSY").when(u >= 40, "RESERVED").otherwise("AVAILABLE").alias("status"),
+        pround(geo.haversine_km(F.lit(-40.0), F.lit(-60.0), F.col("latitude"), F.col("longitude")), 2).alias("distance_km"))
+    placed = [shown.select(F.lit(by).alias("sorted_by"), F.row_number().over(W.partitionBy("city").orderBy(*dash.discovery_keys(by))).alias("place"), "*")
+              for by in ("availability", "distance", "cost")]
+    return functools.reduce(lambda a, b: a.unionByName(b), placed)
+
+
+# Each dashboard table: the query that states it in SQL, its key columns, and its other columns with the
+# digits that their values are shown to (None: as they are).
+_HOUR_COLUMNS = {f"h{h}": None for h in range(24)}
+DASHBOARD = {
+    "kpis": ("agg_1_network_kpis", [], {"total_stations": None, "active_sessions": None, "avg_utilization": 1, "critical_stations": None,
+                                        "available_stations": None, "total_load_kw": 1, "avg_wait_mins": 1}),
+    "summary": ("agg_2_dataset_summary", [], {"n_stations": None, "n_cities": None, "n_operators": None, "n_sessions": None, "avg_wait": 8,
+                                              "evening_wait": 8, "revenue": 2, "avg_kwh": 8, "avg_util": 8}),
+    "hourly_sessions": ("agg_3_hourly_sessions", ["hour"], {"sessions": None, "avg_wait": 8}),
+    "city_utilization": ("agg_4_city_utilization", ["city"], {"avg_util": 8}),
+    "operator_utilization": ("agg_5_operator_utilization", ["operator"], {"avg_util": 8}),
+    "status_counts": ("agg_6_status_counts", ["status"], {"n": None}),
+    "map_summary": ("", [], {"stations_shown": None, "available": None, "avg_wait": 8, "avg_util": 8, "center_lat": 8, "center_lon": 8}),
+    "hourly_profile": ("agg_8_hourly_profile", ["hour"], {"n_sessions": None, "avg_wait": 8, "std_wait": 8, "avg_energy": 8, "avg_revenue": 8,
+                                                          "occupancy": 8, "occ_upper": 8, "occ_lower": 8}),
+    "profile_insights": ("agg_9_profile_insights", [], {"peak_hour": None, "peak_pct": 8, "low_hour": None, "evening_share": 8}),
+    "city_hour": ("agg_10_city_hour_pivot", ["city"], _HOUR_COLUMNS),
+    "revenue_by_city": ("agg_11_revenue_by_city", ["city"], {"revenue": 2}),
+    "sessions_by_vehicle": ("agg_11_sessions_by_vehicle", ["vehicle_type"], {"n": None}),
+    "leaderboard": ("agg_12_leaderboard", ["operator"], {"avg_util": 8, "stations": None, "critical": None, "revenue": 2, "efficiency_score": 1, "rank": None}),
+    "expansion": ("agg_13_expansion_matrix", ["city"], {"sessions": None, "avg_wait": 8, "n_stations": None, "sessions_per_station": 1}),
+    "segments": ("agg_14_user_segments", ["user_segment"], {"sessions": None, "avg_rev": 8, "avg_wait": 8, "avg_kwh": 8}),
+    "recent_sessions": ("top_1_recent_sessions", ["Session"], {"City": None, "Operator": None, "Vehicle": None, "Energy kWh": 6, "Wait min": 6,
+                                                               "Revenue": 2, "Segment": None}),
+    "least_used": ("top_2_least_used", ["station_id"], {"name": None, "city": None, "operator": None, "utilization_pct": 1, "total_slots": None}),
+    "station_table": ("top_3_station_table", ["station_id"], {"name": None, "city": None, "operator": None, "charger_type": None, "available_slots": None,
+                                                              "total_slots": None, "estimated_wait_mins": 1, "utilization_pct": 1, "status": None, "current_load_kw": 1}),
+    "alerts": ("flt_3_alerts", ["kind", "station_id"], {"name": None, "city": None, "utilization_pct": 1, "queue_length": None, "current_load_kw": 1}),
+}
+
+
+def _long_sql(name):
+    source, keys, columns = DASHBOARD[name]
+    sql = SQL[source] if source else SQL["agg_7_map_summary"].split("WHERE charger_type = 'DC CCS2 (50 kW)'")[0]
+    key = " || '/' || ".join(f'CAST("{k}" AS VARCHAR)' for k in keys) or "''"
+    values = ", ".join(f"""{{'c': '{c}', 'v': {f"printf('%.{n}f', \"{c}\")" if n is not None else f'CAST("{c}" AS VARCHAR)'}}}""" for c, n in columns.items())
+    return f"""SELECT '{name}' AS name, row_key, u.c AS "column", u.v AS "value" FROM (SELECT {key} AS row_key, unnest([{values}]) AS u FROM ({sql}))"""
+
+
+def _long(name, table):
+    """A table as (name, row_key, column, value) rows."""
+    _, keys, columns = DASHBOARD[name]
+    key = F.concat_ws("/", *(F.col(f"`{k}`").cast("string") for k in keys)) if keys else F.lit("")
+
+    def shown(c, digits):
+        value = F.col(f"`{c}`")
+        if digits is None:
+            return value.cast("string")
+        return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", pround(value, digits)))
+
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), shown(c, digits).alias("value")) for c, digits in columns.items()))
+    return table.select(F.lit(name).alias("name"), key.alias("row_key"), F.inline(cells))
+
+
+@query("job_9_dashboard", " UNION ALL ".join(_long_sql(name) for name in DASHBOARD))
 def dashboard_tables(spark, sf_dir):
+    """Every value of every dashboard table, in long form."""
     tables = network.network_dashboard(fx.stations(spark, sf_dir), fx.sessions(spark, sf_dir), fx.status(spark, sf_dir))
-    shown = ["hourly_sessions", "city_hour", "segments", "leaderboard", "station_table", "expansion"]
-    counted = [tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in shown]
-    out = counted[0]
-    for part in counted[1:]:
-        out = out.unionByName(part)
-    return out
+    return functools.reduce(lambda a, b: a.unionByName(b), (_long(name, tables[name]) for name in DASHBOARD))
 
 
-@query("job_9_dashboard_values")
+@query("job_9_dashboard_values", """
+    SELECT name, count(DISTINCT row_key) AS n, count("value") AS n_values, bit_xor(CAST('0x' || substr(md5(name || '|' || row_key || '|' || "column" || '|' || coalesce("value", '')), 1, 15) AS BIGINT)) AS digest
+    FROM (""" + " UNION ALL ".join(_long_sql(name) for name in DASHBOARD) + ") GROUP BY name")
 def dashboard_values(spark, sf_dir):
     """Rows of every dashboard table, and a digest of all its values that doesn't depend on their order."""
-    tables = network.network_dashboard(fx.stations(spark, sf_dir), fx.sessions(spark, sf_dir), fx.status(spark, sf_dir))
-    out = None
-    for name, table in tables.items():
-        # As JSON, because a map or a null wouldn't count in a hash of the columns.
-        row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        part = table.select(row.alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row").cast("decimal(38, 0)")).alias("digest"))
-        part = part.select(F.lit(name).alias("name"), "n", "digest")
-        out = part if out is None else out.unionByName(part)
-    return out
+    cell = F.concat_ws("|", "name", "row_key", "column", F.coalesce("value", F.lit("")))
+    digest = F.conv(F.substring(F.md5(cell.cast("binary")), 1, 15), 16, 10).cast("long")
+    return dashboard_tables(spark, sf_dir).groupBy("name").agg(
+        F.countDistinct("row_key").alias("n"), F.count("value").alias("n_values"), F.bit_xor(digest).alias("digest"))

@@ -109,7 +109,7 @@ def l2_normalize(spark, sf_dir):
 def similarity_join(spark, sf_dir):
     """Nearest vector of every query through the blocked path that scales with both sides."""
     return similarity.search(
-        fx.questions(spark, sf_dir), fx.vectors(spark, sf_dir), 1, max_local_values=0, block_rows=256
+        fx.questions(spark, sf_dir), fx.vectors(spark, sf_dir), 1, slice_values=16_000, block_rows=64
     ).select("query_id", "chunk_id", "score")
 
 

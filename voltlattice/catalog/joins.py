@@ -30,14 +30,18 @@ def status_details(spark, sf_dir):
 
 
 @query("jn_3_aggregates_filled", f"""
-    WITH rev AS (SELECT operator, sum(revenue_inr) AS revenue FROM sessions WHERE vehicle_type = 'BMW iX' AND city = 'NATION_7' GROUP BY operator)
-    SELECT u.operator, u.n, {rnd("coalesce(revenue, 0)", 2)} AS revenue
-    FROM (SELECT operator, count(*) AS n FROM status GROUP BY operator) u LEFT JOIN rev USING (operator)""")
+    WITH u AS (SELECT operator, city, count(*) AS n FROM status GROUP BY operator, city),
+      cells AS (SELECT u.*, vehicle_type FROM u, (SELECT DISTINCT vehicle_type FROM sessions))
+    SELECT operator, city, vehicle_type, n, {rnd("coalesce(revenue, 0)", 2)} AS revenue
+    FROM cells LEFT JOIN (SELECT operator, city, vehicle_type, sum(revenue_inr) AS revenue FROM sessions WHERE duration_hrs >= 7 GROUP BY ALL) USING (operator, city, vehicle_type)""")
 def aggregates_filled(spark, sf_dir):
-    few = dash.optional_filter(fx.sessions(spark, sf_dir), vehicle_type="BMW iX", city="NATION_7")
-    revenue = dash.grouped(few, "operator").agg(F.sum("revenue_inr").alias("revenue"))
-    counts = dash.grouped(fx.status(spark, sf_dir), "operator").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(revenue, "operator", "left").na.fill(0).withColumn("revenue", pround("revenue", 2))
+    """Stations of each operator and city, with the revenue of long sessions by vehicle; 0 where there is none."""
+    sessions = fx.sessions(spark, sf_dir)
+    revenue = dash.grouped(sessions.filter("duration_hrs >= 7"), "operator", "city", "vehicle_type").agg(F.sum("revenue_inr").alias("revenue"))
+    counts = dash.grouped(fx.status(spark, sf_dir), "operator", "city").agg(F.count(F.lit(1)).alias("n"))
+    vehicles = sessions.agg(F.collect_set("vehicle_type").alias("v")).scalar()  # one value for each kind of vehicle
+    cells = counts.withColumn("vehicle_type", F.explode(vehicles))
+    return cells.join(revenue, ["operator", "city", "vehicle_type"], "left").na.fill(0).withColumn("revenue", pround("revenue", 2))
 
 
 @query("jn_4_aggregates_joined", """
@@ -58,13 +62,10 @@ STANDARDS = f"st AS (SELECT *, {standard('charger_type')} AS standard FROM stati
 
 
 @query("jn_7_same_standard_peers", f"""
-    WITH {STANDARDS} SELECT city, standard, count(*) - 1 AS peers_each, count(*) AS members FROM st GROUP BY city, standard HAVING count(*) > 1""")
+    WITH {STANDARDS} SELECT a.station_id, b.station_id AS peer_id, a.city, a.standard FROM st a JOIN st b ON a.city = b.city AND a.standard = b.standard AND a.station_id <> b.station_id""")
 def same_standard_peers(spark, sf_dir):
-    """Candidate pools as (city, standard) groups: members, and the peers each of them has."""
-    pooled = ranking.pools(decision.with_standard(fx.stations(spark, sf_dir)))
-    return pooled.filter(F.col("pool.standard") != ranking.ANY_STANDARD).groupBy("city", "standard").agg(
-        (F.count(F.lit(1)) - 1).alias("peers_each"), F.count(F.lit(1)).alias("members")
-    )
+    """Every pair of candidates: stations of the same city and standard."""
+    return ranking.peers(decision.with_standard(fx.stations(spark, sf_dir)))
 
 
 @query("jn_8_city_fallback", f"""
@@ -112,10 +113,10 @@ def percent_sql(value):
     return f"printf('%.1f%%', {value} * 100)"
 
 
-_BETTER = f"predicted_occupancy < occ AND occ - predicted_occupancy >= {d(0.1)}"
+BETTER = f"predicted_occupancy < occ AND occ - predicted_occupancy >= {d(0.1)}"
 _REASON = f"""CASE WHEN occ < {d(0.7)} THEN 'Selected station ' || t.station_id || ' has acceptable predicted occupancy (' || {percent_sql("occ")}
         || ' < 70% policy threshold). No rerouting required.'
-      WHEN {_BETTER} THEN 'Selected station ' || t.station_id || ' has high predicted occupancy (' || {percent_sql("occ")}
+      WHEN {BETTER} THEN 'Selected station ' || t.station_id || ' has high predicted occupancy (' || {percent_sql("occ")}
         || '). Recommended reroute to ' || b.station_id || ' in ' || t.city || ' with lower predicted occupancy (' || {percent_sql("predicted_occupancy")}
         || ', improvement: ' || {percent_sql("(occ - predicted_occupancy)")} || ' >= 10% policy threshold).'
       WHEN b.station_id IS NOT NULL THEN 'Selected station ' || t.station_id || ' has high predicted occupancy (' || {percent_sql("occ")}
@@ -127,7 +128,7 @@ _REASON = f"""CASE WHEN occ < {d(0.7)} THEN 'Selected station ' || t.station_id
 @query("job_6_decide", f"""
     WITH {DECIDED}
     SELECT t.request_id, t.station_id, t.name, t.occ AS predicted_occupancy, {band("t.raw")} AS status,
-      CASE WHEN occ < {d(0.7)} THEN 'STAY' WHEN {_BETTER} THEN 'REROUTE' ELSE 'NO_BETTER_ALTERNATIVE' END AS recommendation,
+      CASE WHEN occ < {d(0.7)} THEN 'STAY' WHEN {BETTER} THEN 'REROUTE' ELSE 'NO_BETTER_ALTERNATIVE' END AS recommendation,
       {_REASON} AS recommendation_reason, b.station_id AS best_station, b.distance_km AS best_km, b.occupancy_improvement AS improvement
     FROM targets t LEFT JOIN (SELECT * FROM ordered WHERE rank = 1) b USING (request_id)""")
 def decide(spark, sf_dir):
@@ -156,7 +157,7 @@ def rejected_decisions(spark, sf_dir):
 
 @query("fn_7_decision_policy", f"""
     WITH {DECIDED}
-    SELECT CASE WHEN occ < {d(0.7)} THEN 'STAY' WHEN {_BETTER} THEN 'REROUTE' ELSE 'NO_BETTER_ALTERNATIVE' END AS recommendation, count(*) AS n
+    SELECT CASE WHEN occ < {d(0.7)} THEN 'STAY' WHEN {BETTER} THEN 'REROUTE' ELSE 'NO_BETTER_ALTERNATIVE' END AS recommendation, count(*) AS n
     FROM targets t LEFT JOIN (SELECT * FROM ordered WHERE rank = 1) b USING (request_id) GROUP BY 1""")
 def decision_policy(spark, sf_dir):
     return decided(spark, sf_dir)[0].groupBy("recommendation").agg(F.count(F.lit(1)).alias("n"))

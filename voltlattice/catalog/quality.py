@@ -128,32 +128,46 @@ def report_sql(rows: str, columns: list[str]) -> str:
         count(*) FILTER (NOT occupancy_rate BETWEEN 0 AND 1) AS target_out_of_range,
         count(*) FILTER (occupied_slots < 0 OR occupied_slots > total_slots) AS invalid_slots,
         count(*) - count(DISTINCT station_id || CAST("timestamp" AS VARCHAR)) AS duplicate_rows,
-        count(*) FILTER (abs(lag_1h - previous) > CAST(0.00001 AS DOUBLE)) AS lag_mismatches
-      FROM (SELECT *, lag(occupancy_rate) OVER (PARTITION BY station_id ORDER BY "timestamp") AS previous FROM {rows}))
-    SELECT *, null_values + target_out_of_range + invalid_slots + duplicate_rows + lag_mismatches = 0 AS is_valid FROM report"""
+        count(*) FILTER (abs(lag_1h - previous) > CAST(0.00001 AS DOUBLE)) AS lag_mismatches,
+        count(*) FILTER ("timestamp" < arrived_before) AS order_violations
+      FROM (SELECT *, lag(occupancy_rate) OVER (PARTITION BY station_id ORDER BY "timestamp", occupancy_rate, lag_1h) AS previous,
+        lag("timestamp") OVER (PARTITION BY station_id ORDER BY seq) AS arrived_before FROM {rows}))
+    SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {c} > 0 THEN '{c}' END" for c in quality.CHECKS)}) AS failed_checks,
+      {" + ".join(quality.CHECKS)} = 0 AS is_valid FROM report"""
 
 
-@query("val_6_dataset_report", "WITH " + report_sql("featured", [
+def arrival():
+    """An arrival sequence: twice the hours since 1970."""
+    return F.floor(F.unix_timestamp(F.col("timestamp").cast("timestamp")) / 3600) * 2
+
+
+_ARRIVAL = """CAST(epoch("timestamp") // 3600 * 2 AS BIGINT)"""
+
+
+@query("val_6_dataset_report", f"WITH arrived AS (SELECT *, {_ARRIVAL} AS seq FROM featured), " + report_sql("arrived", [
     "station_id", "occupancy_rate", "temperature_c", "lag_1h", "lag_24h", "lag_168h", "rolling_mean_6h", "rolling_mean_24h", "rolling_std_24h"]))
 def dataset_report(spark, sf_dir):
-    return quality.dataset_report(training.build_training_features(fx.hourly(spark, sf_dir)))
+    rows = training.build_training_features(fx.hourly(spark, sf_dir))
+    return quality.dataset_report(rows.withColumn("seq", arrival()), "seq", block=1_000)
 
 
-@query("val_6_dataset_report_dirty", """
+@query("val_6_dataset_report_dirty", f"""
     WITH hot AS (SELECT station_id, "timestamp", occupancy_rate + CASE WHEN day("timestamp") = 7 THEN 2 ELSE 0 END AS occupancy_rate,
         lag(occupancy_rate) OVER (PARTITION BY station_id ORDER BY "timestamp") + CASE WHEN day("timestamp") = 9 THEN 0.5 ELSE 0 END AS lag_1h,
-        CASE WHEN day("timestamp") = 8 THEN -1 ELSE occupied_slots END AS occupied_slots, total_slots FROM hourly),
+        CASE WHEN day("timestamp") = 8 THEN -1 ELSE occupied_slots END AS occupied_slots, total_slots,
+        {_ARRIVAL} + CASE WHEN day("timestamp") = 6 THEN 61 ELSE 0 END AS seq FROM hourly),
       dirty AS (SELECT * FROM hot UNION ALL SELECT * FROM hot WHERE day("timestamp") = 5),
       """ + report_sql("dirty", ["station_id", "occupancy_rate", "lag_1h", "occupied_slots", "total_slots"]))
 def dataset_report_dirty(spark, sf_dir):
-    """The report on data with doubled rows, missing and shifted lags, and values out of range."""
+    """The report on data with doubled rows, missing and shifted lags, values out of range and a day that arrives late."""
     day = F.dayofmonth("timestamp")
     hot = fx.hourly(spark, sf_dir).withColumns({"lag_1h": windows.lag_columns()["lag_1h"]}).select(
         "station_id", "timestamp", (F.col("occupancy_rate") + F.when(day == 7, 2).otherwise(0)).alias("occupancy_rate"),
         (F.col("lag_1h") + F.when(day == 9, 0.5).otherwise(0.0)).alias("lag_1h"),
         F.when(day == 8, -1).otherwise(F.col("occupied_slots")).alias("occupied_slots"), "total_slots",
+        (arrival() + F.when(day == 6, 61).otherwise(0)).alias("seq"),
     )
-    return quality.dataset_report(hot.unionByName(hot.filter(day == 5)))
+    return quality.dataset_report(hot.unionByName(hot.filter(day == 5)), "seq", block=1_000)
 
 
 @query("val_7_leakage_guard", """

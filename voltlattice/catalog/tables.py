@@ -43,29 +43,28 @@ def hourly_scan(spark, sf_dir):
     return files.read_hourly(spark, path, "csv")
 
 
+_SUFFIXES = ["json", "csv", "txt", "md", "bin"]
+
+
 @query("src_3_document_scan", """
-    SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'json_artifact' WHEN 1 THEN 'csv_artifact' ELSE 'markdown_doc' END AS type,
-      md5(text) AS digest FROM benchmark""")
+    SELECT 'part ' || doc_id % 7 || '/doc-' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.json' WHEN 1 THEN '.csv' WHEN 2 THEN '.txt' ELSE '.md' END AS source,
+      CASE doc_id % 5 WHEN 0 THEN 'json_artifact' WHEN 1 THEN 'csv_artifact' ELSE 'markdown_doc' END AS type,
+      md5(CASE doc_id % 5 WHEN 0 THEN 'JSON Artifact: doc-' || doc_id || '.json' || chr(10) || '["' || md5(coalesce(text, '')) || '"]'
+        WHEN 1 THEN 'CSV Feature Importance Artifact:' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END) AS digest
+    FROM documents WHERE doc_id % 5 <> 4""")
 def document_scan(spark, sf_dir):
-    """Every benchmark item as a file of its own, in three formats, read back as documents."""
-    items = fx.table(spark, sf_dir, "benchmark").withColumn("item", F.col("item_id"))
-    root = shared_dir(spark, "documents")
-
-    def write(kind, n, value, fmt):
-        rows = items.filter(F.col("item_id") % 3 == n).select("item", value)
-        rows.write.partitionBy("item").format(fmt).save(f"{root}/{kind}")
-
-    write("json", 0, F.col("text"), "json")
-    write("csv", 1, F.base64(F.col("text").cast("binary")).alias("text"), "csv")
-    write("txt", 2, F.col("text").alias("text"), "text")
-    docs = files.read_documents(spark, [f"{root}/{k}" for k in ("json", "csv", "txt")] + [f"{root}/absent.md"], root)
-    body = (
-        F.when(F.col("type") == "json_artifact", F.get_json_object(F.split("content", "\n", 2)[1], "$.text"))
-        .when(F.col("type") == "csv_artifact", F.unbase64(F.regexp_replace(F.split("content", "\n", 2)[1], r"\s", "")).cast("string"))
-        .otherwise(F.regexp_replace("content", r"\n\z", ""))
-    )
-    item = F.regexp_extract("source", r"item=(\d+)", 1).cast("long")
-    return docs.select(item.alias("item_id"), "type", F.md5(body).alias("digest"))
+    """All documents as files of several formats in bundles, read back by ranges: paths, types and introduced contents.
+
+    One in five has a suffix that is skipped.
+    """
+    n, root = F.col("doc_id") % 5, shared_dir(spark, "documents")
+    text = F.coalesce("text", F.lit(""))
+    suffix = F.get(F.array(*(F.lit(s) for s in _SUFFIXES)), n.cast("int"))
+    path = F.concat(F.lit("/store/part "), (F.col("doc_id") % 7).cast("string"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit("."), suffix)
+    value = F.when(n == 0, F.concat(F.lit('["'), F.md5(text.cast("binary")), F.lit('"]'))).otherwise(text)
+    rows = fx.table(spark, sf_dir, "documents").select(path.alias("path"), value.alias("value"))
+    docs = files.read_bundles(spark, files.write_bundles(rows, root), "/store")
+    return docs.select("source", "type", F.md5("content").alias("digest"))
 
 
 def scored(spark, sf_dir):
@@ -158,7 +157,7 @@ def score_stream(spark, sf_dir):
     fx.requests(spark, sf_dir).select(*columns).write.parquet(f"{root}/in")
     history = files.read_hourly(spark, _history(spark, sf_dir, root))
     stream = spark.readStream.schema(schemas.REQUESTS).parquet(f"{root}/in")
-    jobs.score_and_log(stream, history, f"{root}/log", f"{root}/state").awaitTermination()
+    jobs.score_and_log(stream, history, f"{root}/log", f"{root}/state", stations=fx.stations(spark, sf_dir)).awaitTermination()
     return files.read_log(spark, f"{root}/log").select(*LOG_SHOWN)
 
 
@@ -182,8 +181,8 @@ def latest_status_batch(spark, sf_dir):
 
 @query("str_3_latest_status_stream", LATEST)
 def latest_status_stream(spark, sf_dir):
-    """The same table from an update-mode stream; the newest batch folder of a station wins."""
-    status = jobs.telemetry_status(telemetry(spark, sf_dir, event_stream(spark, sf_dir)), fx.stations(spark, sf_dir))
+    """The same table from a stream of snapshots, a few files of readings at a time."""
+    status = jobs.telemetry_status(telemetry(spark, sf_dir, event_stream(spark, sf_dir)), fx.stations(spark, sf_dir)).select(*READING_SHOWN)
     root = shared_dir(spark, "latest")
-    jobs.upsert_latest(status.select(*READING_SHOWN), f"{root}/out", f"{root}/state").awaitTermination()
-    return jobs.latest_status(spark.read.parquet(f"{root}/out").select(*READING_SHOWN))
+    jobs.upsert_latest(status, f"{root}/out", f"{root}/state").awaitTermination()
+    return jobs.read_latest(spark, f"{root}/out", status.schema)

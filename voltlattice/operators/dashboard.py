@@ -226,8 +226,8 @@ def alerts(status: DataFrame, n: int = 4) -> DataFrame:
     )
 
 
-def discovery_order(df: DataFrame, by: str) -> DataFrame:
-    """Sort for station discovery: by distance, by availability status or by cost."""
+def discovery_keys(by: str) -> list:
+    """The order of station discovery: by distance, by availability status or by cost; ties by id."""
     status = F.col("status")
     level = F.when(status == "AVAILABLE", 0).when(status == "BUSY", 1).when(status == "RESERVED", 2)
     keys = {
@@ -235,7 +235,11 @@ def discovery_order(df: DataFrame, by: str) -> DataFrame:
         "availability": level.when(status == "FULL", 3).otherwise(4),
         "cost": F.col("cost_per_kwh"),
     }
-    return df.orderBy(keys[by], "station_id")
+    return [keys[by], F.col("station_id")]
+
+
+def discovery_order(df: DataFrame, by: str) -> DataFrame:
+    return df.orderBy(*discovery_keys(by))
 
 
 def filter_options(df: DataFrame, column: str) -> DataFrame:

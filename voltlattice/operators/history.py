@@ -3,12 +3,13 @@
 The requests say which days of which stations they look back at. Only those days of the
 history are packed, into one array of 24 values per station and day (partial aggregation
 before the shuffle), and a request then needs one equi-join on (station, day) for all 25
-values it looks up. Streams join history that was packed once into a table by day.
+values it looks up. Streams join a table of packed days that each start brings up to date.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlattice.functions import calendar as cal
+from voltlattice.session import materialize, path_exists
 
 LOOKBACK_DAYS = {"today": 0, "yesterday": 1, "week_ago": 7}
 
@@ -44,9 +45,43 @@ def lookback_days(packed: DataFrame, needs: DataFrame) -> DataFrame:
     return needs.join(source, ["station_id", "source_day"]).groupBy("station_id", "day").agg(*picks)
 
 
-def write_packed(history: DataFrame, path: str) -> None:
-    """Pack a whole history once into a table partitioned by day, for streams to join."""
-    pack_days(history).write.partitionBy("day").parquet(path)
+def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Packed days hour by hour: a new value replaces an old one."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    hours = [F.max_by(F.get("v", F.lit(h)), F.when(F.get("v", F.lit(h)).isNotNull(), F.col("_new"))) for h in range(24)]
+    return both.groupBy("station_id", "day").agg(F.array(*hours).alias("v"))
+
+
+def update_packed(history: DataFrame, path: str, late_hours: int = 0) -> DataFrame:
+    """Bring a table of packed days up to date with ``history`` and return it; one file group a day.
+
+    Hours up to the one merged last are not read again, but for the last ``late_hours`` of them. Days
+    that get new hours are merged with what is there and replaced as a whole; other days stay as they
+    are. The mark of the last hour is written after them, so an update that is cut short is done again
+    with the same result.
+    """
+    spark = history.sparkSession
+    days, marks = f"{path}/days", f"{path}/mark"
+    fresh = history
+    schema = "station_id string, v array<double>, day date"
+    known = path_exists(spark, f"{marks}/_SUCCESS")
+    if known:
+        mark = spark.read.schema("hour timestamp_ntz").parquet(marks).first()["hour"]
+        if mark is not None:
+            fresh = history.filter(F.col("timestamp") > F.lit(mark) - F.expr(f"interval {late_hours} hours"))
+    last = fresh.agg(F.max("timestamp").alias("hour"))
+    packed = pack_days(fresh)
+    if path_exists(spark, days):
+        packed = materialize(packed, "packed-new")
+        touched = packed.select("day").distinct()
+        packed = _merged(spark.read.schema(schema).parquet(days).join(touched, "day", "left_semi"), packed)
+    packed = materialize(packed, "packed-days")
+    if known and packed.isEmpty():
+        return spark.read.schema(schema).parquet(days)
+    # All rows of a day in one task, so a day is one file; only the days written here are replaced.
+    packed.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(days)
+    materialize(last, "packed-mark").write.mode("overwrite").parquet(marks)
+    return spark.read.schema(schema).parquet(days)
 
 
 def preceding_24h(ts: Column) -> Column:
@@ -70,7 +105,7 @@ def attach_history(requests: DataFrame, history: DataFrame, stations: DataFrame
 
     A missing observation gives NULL in every feature that needs it, never a near value;
     a time off the hour finds nothing. Known are the ``stations`` given, else those with
-    history. ``packed`` is history as ``write_packed`` leaves it and replaces packing it here.
+    history. ``packed`` is history as ``update_packed`` leaves it and replaces packing it here.
     """
     whole_hour = F.when(F.col("ts") == cal.hour_of(F.col("ts")), F.to_date("ts"))
     dated = requests.withColumn("day", whole_hour)

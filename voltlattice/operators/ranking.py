@@ -4,7 +4,7 @@ The reroute ranking orders a pool of candidates by (occupancy, distance, id). Th
 cuts keep the pairs per request small however large a city is:
 
 1. only the lowest occupancy levels, down to the one that completes k+1 candidates, can reach
-   a top-k; levels are counted by aggregation, so no pool is ever sorted in one task;
+   a top-k; each task cuts its share of a pool to them before anything moves or is written;
 2. of candidates at the same spot and level only the k+1 smallest ids can;
 3. a level with many ties is searched through a nested sphere grid, nearest cells first.
 """
@@ -33,6 +33,16 @@ def pools(stations: DataFrame) -> DataFrame:
     return stations.join(peers, ["city", "standard"]).withColumn("pool", pool).drop("_peers")
 
 
+def peers(stations: DataFrame) -> DataFrame:
+    """(station_id, peer_id, city, standard): every pair of different stations with the same city and standard.
+
+    For reports and tests; decisions never pair whole pools (see ``top_alternatives``).
+    """
+    other = stations.select("city", "standard", F.col("station_id").alias("peer_id"))
+    return stations.select("station_id", "city", "standard").join(other, ["city", "standard"]).filter(
+        F.col("station_id") != F.col("peer_id")).select("station_id", "peer_id", "city", "standard")
+
+
 def pool_members(scored: DataFrame) -> DataFrame:
     """Each candidate once in its city-and-standard pool and once in its city pool."""
     whole_city = F.struct("city", F.lit(ANY_STANDARD).alias("standard"))
@@ -79,16 +89,17 @@ def nearest_ties(targets: DataFrame, ties: DataFrame, k: int, group: list[str])
     return probes.join(in_cells, [*group, "cell"]).drop("cell")
 
 
-def open_levels(members: DataFrame, k: int, group: list[str]) -> DataFrame:
-    """(group, predicted_occupancy, ties) of the levels with at most k candidates below them.
+def reachable(members: DataFrame, k: int, group: list[str]) -> DataFrame:
+    """The members that can be among the k best of a group but one, with the ``ties`` of their occupancy.
 
-    A pool has at most 10,001 levels because occupancies have 4 digits.
+    Those are all with at most k candidates below them. Spark applies the rank's limit in each task
+    before the shuffle, so of a group of any size only its lowest candidates and their ties move; the
+    result is written, and nothing else of the group is.
     """
-    counts = members.groupBy(*group, "predicted_occupancy").agg(F.count(F.lit(1)).alias("ties"))
-    below = W.partitionBy(*group).orderBy("predicted_occupancy").rowsBetween(W.unboundedPreceding, -1)
-    return counts.withColumn("_below", F.coalesce(F.sum("ties").over(below), F.lit(0))).filter(
-        F.col("_below") <= k
-    ).drop("_below")
+    lowest = F.rank().over(W.partitionBy(*group).orderBy("predicted_occupancy"))
+    kept = materialize(members.withColumn("_below", lowest).filter(F.col("_below") <= k + 1).drop("_below"), "reachable")
+    ties = kept.groupBy(*group, "predicted_occupancy").agg(F.count(F.lit(1)).alias("ties"))
+    return kept.join(ties, [*group, "predicted_occupancy"])
 
 
 def top_alternatives(targets: DataFrame, scored: DataFrame, k: int, condition: list[str],
@@ -105,8 +116,7 @@ def top_alternatives(targets: DataFrame, scored: DataFrame, k: int, condition: l
     members = pool_members(scored.select(*condition, "standard", *ALTERNATIVE)).drop("standard").join(
         wanted, group, "left_semi"
     )
-    levels = materialize(open_levels(members, k, group), "levels")
-    kept = members.join(levels, [*group, "predicted_occupancy"])
+    kept = reachable(members, k, group)
     asked = targets.select(
         *group, "request_id", F.col("station_id").alias("_self"), F.col("latitude").alias("_lat"),
         F.col("longitude").alias("_lon"), "target_occupancy",
@@ -133,20 +143,36 @@ def top_alternatives(targets: DataFrame, scored: DataFrame, k: int, condition: l
     )
 
 
-def within_radius(users: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
+#: A cell with more than one of so many users is dealt out; fewer than that many cells can be.
+CROWDED_SHARE = 256
+
+
+def within_radius(users: DataFrame, places: DataFrame, radius_km: float, crowded_share: int = CROWDED_SHARE) -> DataFrame:
     """User x place pairs within the radius: one grid-cell equi-join, then the exact distance.
 
     ``users`` carry user_lat and user_lon; ``places`` latitude and longitude. The small fan-out
     (the cells around a point) is on the places, the dimension, so each user is one row of the join.
+
+    A cell with more than 1/``crowded_share`` of the users, as a metropolis has, is split: its users are
+    numbered by a hash into as many parts as it takes, and only the places near that cell are repeated
+    for each part. Counts of cells are added up in each task first, and there are fewer crowded cells
+    than ``crowded_share``, so both sides get them by broadcast.
     """
     edge = geo.chord(radius_km) * (1 + 1e-9)
     here = geo.cube_of(geo.sphere_point(F.col("user_lat"), F.col("user_lon")), F.lit(edge))
     there = geo.cube_of(geo.sphere_point(F.col("latitude"), F.col("longitude")), F.lit(edge))
-    asked = users.withColumn("_cell", here)
-    around = places.withColumn("_cell", F.explode(geo.cubes_around(there, edge)))
+    counts = users.groupBy(here.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
+    crowded = F.broadcast(counts.filter(F.col("_n") * crowded_share > total).select(
+        F.col("_cell").alias("_crowd"), F.ceil(F.col("_n") * crowded_share / total).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    asked = users.withColumn("_cell", here).join(crowded, F.col("_cell") == F.col("_crowd"), "left")
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64(*users.columns), parts).cast("int")).drop("_crowd", "_parts")
+    around = places.withColumn("_cell", F.explode(geo.cubes_around(there, edge))).join(crowded, F.col("_cell") == F.col("_crowd"), "left")
+    around = around.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_crowd", "_parts")
     km = geo.haversine_km(F.col("user_lat"), F.col("user_lon"), F.col("latitude"), F.col("longitude"))
     return (
-        asked.join(around, "_cell").drop("_cell")
+        asked.join(around, ["_cell", "_part"]).drop("_cell", "_part")
         .withColumn("distance_km", km)
         .filter(F.col("distance_km") <= radius_km)
     )

@@ -61,22 +61,25 @@ def key_features():
 
 
 def score_requests(requests: DataFrame, history: DataFrame,
-                   predict: Callable[[DataFrame], DataFrame] = forest.baseline_predict) -> DataFrame:
-    """Valid requests with prediction, status from the unrounded value, and context."""
-    scored = predict(valid(build_request_features(requests, history)))
+                   predict: Callable[[DataFrame], DataFrame] = forest.baseline_predict, stations: DataFrame | None = None) -> DataFrame:
+    """Valid requests with prediction, status from the unrounded value, and context.
+
+    Known are the ``stations`` given; without them, the distinct ones of the whole history.
+    """
+    scored = predict(valid(build_request_features(requests, history, stations)))
     return scored.withColumns({**context(), "predicted_occupancy": pround("predicted_occupancy", 4)})
 
 
-def explain_requests(requests: DataFrame, history: DataFrame, model, top_n: int = 5) -> DataFrame:
+def explain_requests(requests: DataFrame, history: DataFrame, model, top_n: int = 5, stations: DataFrame | None = None) -> DataFrame:
     """Scored requests with the top feature context and the spread of the trees."""
-    rows = valid(build_request_features(requests, history))
+    rows = valid(build_request_features(requests, history, stations))
     spread = forest.add_tree_dispersion(forest.tree_predictions(model, rows))
     mean = forest.mean_of_trees(F.col("tree_predictions"))
     return spread.withColumns({
         **context(),
         "predicted_occupancy": pround(mean, 4),
         "predicted_status": occ.status_band(mean),
-        "top_feature_context": forest.top_feature_context(model, top_n),
+        "top_feature_context": forest.top_feature_context(forest.importance_list(model), top_n),
     }).drop("tree_predictions")
 
 

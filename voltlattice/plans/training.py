@@ -2,7 +2,6 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from voltlattice.functions import calendar as cal
@@ -35,7 +34,7 @@ def build_training_features(hourly: DataFrame, block_rows: int | None = None) ->
 
 @dataclass
 class TrainingResult:
-    model: RandomForestRegressionModel
+    model: forest.ForestModel
     features: DataFrame
     report: DataFrame
     importances: DataFrame
@@ -50,7 +49,7 @@ def train_and_evaluate(hourly: DataFrame, trees=200, depth=16, min_leaf=10, seed
     )
     if not quality.splits_disjoint(features).first()["disjoint"]:
         raise ValueError("the time ranges of the splits overlap")
-    model = forest.train(features.filter("split = 'train'"), trees, depth, min_leaf, seed, max_bins)
+    model = forest.fitted(features.filter("split = 'train'"), trees, depth, min_leaf, seed, max_bins)
     baseline = F.least(F.greatest("lag_24h", F.lit(0.0)), F.lit(1.0))
     # Every part of the report reads the predictions, so the forest scores the rows once.
     scored = materialize(forest.predict(model, features).withColumn("baseline", baseline), "scored")

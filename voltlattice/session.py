@@ -21,8 +21,8 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the cluster's checkpoint folder, visible to every executor.
+def store_dir(spark: SparkSession, name: str) -> str:
+    """A path under the cluster's checkpoint folder, visible to every executor, the same for equal names.
 
     The folder is read from ``spark.checkpoint.dir``. Only a local session without
     one gets a temporary folder; a cluster session without one is an error.
@@ -33,7 +33,28 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="voltlattice-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}"
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path under the cluster's checkpoint folder."""
+    return store_dir(spark, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(matching(spark, path))
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob pattern finds in the store it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return [str(f.getPath()) for f in found or []]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voltlattice.operators import forest, history as hist, spine
 from voltlattice.plans import serving
-from voltlattice.session import materialize, shared_dir
+from voltlattice.session import delete, matching, materialize
 from voltlattice.sources import files
 
 
@@ -45,22 +45,22 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
 
 
 def score_and_log(requests: DataFrame, history: DataFrame, log_path: str, checkpoint: str,
-                  predict: Callable[[DataFrame], DataFrame] = forest.baseline_predict, model_version="baseline"):
+                  predict: Callable[[DataFrame], DataFrame] = forest.baseline_predict, model_version="baseline",
+                  stations: DataFrame | None = None, packed_path: str | None = None):
     """Score each micro-batch of requests against history and add it to the log.
 
-    The history is packed once, by day; a batch reads only the days that its requests look back at.
-    Each batch writes its own folder by overwrite, so a batch that is replayed after a failure
-    replaces its rows instead of doubling them.
+    The history is kept packed by day beside the checkpoint; a start merges only the hours that came
+    since the last one, and a batch reads only the days that its requests look back at. Known are the
+    ``stations`` given, else those with history.
+    Each batch is a run of the log, so a batch that is replayed after a failure replaces its rows
+    instead of doubling them.
     """
-    spark = history.sparkSession
-    path = shared_dir(spark, "packed-history")
-    hist.write_packed(history, path)
-    packed = spark.read.parquet(path)
-    stations = materialize(packed.select("station_id").distinct(), "known-stations")
+    packed = hist.update_packed(history, packed_path or f"{checkpoint.rstrip('/')}-history")
+    known = materialize((stations if stations is not None else packed).select("station_id").distinct(), "known-stations")
 
     def write(batch: DataFrame, number: int):
-        scored = predict(serving.valid(serving.build_request_features(batch, history, stations, packed)))
-        files.log_rows(scored, model_version, "stream").write.mode("overwrite").json(f"{log_path}/batch={number}")
+        scored = predict(serving.valid(serving.build_request_features(batch, history, known, packed)))
+        files.append_log(files.log_rows(scored, model_version, "stream"), log_path, f"batch-{number}")
 
     return (
         requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -68,12 +68,37 @@ def score_and_log(requests: DataFrame, history: DataFrame, log_path: str, checkp
     )
 
 
-def upsert_latest(status: DataFrame, path: str, checkpoint: str):
-    """Latest status per station as a stream; every batch lands in its own folder by overwrite."""
+def _snapshots(spark, path: str) -> list[int]:
+    """The numbers of the whole snapshots: those whose write was committed."""
+    return sorted(int(p.split("/snapshot-")[1].split("/")[0]) for p in matching(spark, f"{path}/snapshot-*/_SUCCESS"))
+
+
+def upsert_latest(status: DataFrame, path: str, checkpoint: str, keep: int = 2):
+    """Latest status per station as a stream of numbered snapshots.
+
+    A batch merges its rows into the snapshot before it and writes the next one, numbered by the batch;
+    a batch that is replayed starts from the same snapshot again. Readers take the last whole one.
+    ``keep`` of the older ones stay for readers that have begun; the others are deleted.
+    """
     def write(batch: DataFrame, number: int):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        before = [n for n in _snapshots(spark, path) if n < number]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(_snapshot(path, before[-1]))) if before else batch
+        latest_status(rows).select(*batch.columns).write.mode("overwrite").parquet(_snapshot(path, number))
+        for n in before[:-keep]:
+            delete(spark, _snapshot(path, n))
 
     return (
-        latest_status(status).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        status.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
+
+
+def _snapshot(path: str, number: int) -> str:
+    return f"{path}/snapshot-{number:012d}"
+
+
+def read_latest(spark, path: str, schema) -> DataFrame:
+    """The latest status per station: the last whole snapshot, empty before the first."""
+    found = _snapshots(spark, path)
+    return spark.read.schema(schema).parquet(_snapshot(path, found[-1])) if found else spark.createDataFrame([], schema)
