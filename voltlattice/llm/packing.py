@@ -14,6 +14,7 @@ result. Only longer documents than a sequence are cut; the rest of the division
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,12 @@ def cut_lengths(tokens: int, size: int) -> list[int]:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SEQUENCE,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: piece_key, doc_id, piece, start, length, ids (little-endian uint32)."""
+                    id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """One row per piece: piece_key, doc_id, piece, start, length, ids (little-endian uint32).
+
+    With ``digest``, ids_crc32 in place of ids, taken where they are made.
+    """
+    name, told = ("ids_crc32", zlib.crc32) if digest else ("ids", bytes)
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,13 +60,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int
                 ids = encode(text) + end
                 start = 0
                 for k, n in enumerate(cut_lengths(len(ids) // 4, size)):
-                    rows.append((key, doc, k, start, n, ids[4 * start:4 * (start + n)]))
+                    rows.append((key, doc, k, start, n, told(ids[4 * start:4 * (start + n)])))
                     key, start = key + 1, start + n
-            yield pd.DataFrame(rows, columns=["piece_key", "doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["piece_key", "doc_id", "piece", "start", "length", name]).astype({"doc_id": batch["doc_id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-            .mapInPandas(pieces, f"piece_key long, doc_id {kind}, piece int, start long, length long, ids binary"))
+            .mapInPandas(pieces, f"piece_key long, doc_id {kind}, piece int, start long, length long, {name} {'long' if digest else 'binary'}"))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,9 +144,9 @@ def pack(pieces: DataFrame, key: str = "piece_key", length: str = "length", capa
 
 
 def pieces_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = SEQUENCE,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """The pieces, written once: every later step reads only the columns it needs."""
-    return materialize(tokenize_pieces(docs, tokenizer_path, end_id, size, id_col, text_col), "packing-pieces")
+    return materialize(tokenize_pieces(docs, tokenizer_path, end_id, size, id_col, text_col, digest), "packing-pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = SEQUENCE,
@@ -153,7 +158,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size:
 
 def packed_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = SEQUENCE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with the crc32 of their ids, sequence_id and offset. Ids are digested where they are read, and not shuffled."""
-    written = pieces_table(docs, tokenizer_path, end_id, size, id_col, text_col)
-    told = written.select("piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return told.join(pack(written, capacity=size), "piece_key").drop("piece_key")
+    """Pieces with the crc32 of their ids, sequence_id and offset. The ids themselves are neither written nor shuffled."""
+    written = pieces_table(docs, tokenizer_path, end_id, size, id_col, text_col, digest=True)
+    return written.join(pack(written, capacity=size), "piece_key").drop("piece_key")
