@@ -56,7 +56,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, archives = shared_dir(spark, "arc"), shared_dir(spark, "warc")
     names = warc.write_arc(read_table(spark, sf_dir, "pages"), arc)
-    back = warc.read_archives(warc.convert(names, arc, archives), archives)
+    back = warc.read_archives(warc.convert(names, arc, archives), archives, payloads=False)
     return back.select(F.col("key").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").try_cast("long").alias("refers_to"))
 

@@ -9,7 +9,8 @@ the line declares.
 A WARC record gets an identifier derived from the archived address, date and digest (so a task that
 runs again writes the same), an ISO 8601 date, a type, and SHA-1 digests of block and payload. Of
 records with equal payloads of at least ``REVISIT_BYTES`` bytes, that with the largest key is the
-response and the others are revisits without payload that name it; smaller ones are all responses.
+response and the others are revisits without payload, which name its record, address and date; smaller
+ones are all responses. Each archive begins with a ``warcinfo`` record.
 
 Payloads are read in the task that writes them and are never shuffled: only digests and keys are.
 Digests are counted per task before they move, so copies of one page don't meet in a task.
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from voltlattice.llm.common import materialize
+from voltlattice.llm.common import materialize, partitions
 from voltlattice.llm.token_files import _store, _Writer
 
 REVISIT_BYTES = 1000
@@ -125,8 +126,25 @@ def warc_id(url: str, date: str, digest: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {key}')}>"
 
 
-def warc_record(record: ArcRecord, refers_to: str | None) -> bytes:
-    """The WARC record of an ARC record; ``refers_to`` is the key of the response that a revisit repeats."""
+@dataclass
+class Response:
+    """What a revisit names of the response that it repeats."""
+
+    key: str
+    url: str
+    date: str
+
+
+def warc_info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: archive converter\r\nformat: WARC File Format 1.1\r\n"
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", _iso("")),
+            ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", _sha1(block)), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + _utf8("".join(f"{n}: {v}\r\n" for n, v in head)) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def warc_record(record: ArcRecord, refers_to: Response | None) -> bytes:
+    """The WARC record of an ARC record; ``refers_to`` is the response that a revisit repeats."""
     url, date = record.fields["URL"], _iso(record.fields["Archive-date"])
     payload = record.payload
     digest = hashlib.sha1(payload).hexdigest()
@@ -141,7 +159,10 @@ def warc_record(record: ArcRecord, refers_to: str | None) -> bytes:
         ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Key", refers_to)]
+        named = _iso(refers_to.date)
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                 ("WARC-Refers-To", warc_id(refers_to.url, named, digest, refers_to.key)),
+                 ("WARC-Refers-To-Target-URI", refers_to.url), ("WARC-Refers-To-Date", named), ("X-Refers-To-Key", refers_to.key)]
     lines = "".join(f"{n}: {v}\r\n" for n, v in [*head, ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + _utf8(lines) + b"\r\n" + block + b"\r\n\r\n"
 
@@ -215,8 +236,8 @@ def _records(folder: str, name: str, reader) -> Iterator:
 
 
 def _spread(names: DataFrame) -> DataFrame:
-    """One archive per task, up to the session's number of partitions."""
-    return names.repartition("name")
+    """The archives dealt to the session's number of partitions: with an explicit number, short lists of names aren't merged into one task."""
+    return names.repartition(partitions(names.sparkSession), "name")
 
 
 def _read_back(folder: str, reader, told, schema: str, names: DataFrame) -> DataFrame:
@@ -227,33 +248,34 @@ def _read_back(folder: str, reader, told, schema: str, names: DataFrame) -> Data
         for batch in batches:
             for name in batch["name"]:
                 records = enumerate(_records(folder, name, reader))
-                while rows := [told(name, n, r) for n, r in itertools.islice(records, 500)]:
-                    yield pd.DataFrame(rows, columns=columns)
+                while some := list(itertools.islice(records, 500)):
+                    yield pd.DataFrame([row for n, r in some if (row := told(name, n, r)) is not None], columns=columns)
 
     return _spread(names).mapInPandas(read, schema)
 
 
 def _arc_row(name: str, n: int, record: ArcRecord) -> tuple:
     payload = record.payload
-    return name, n, record.http.get(_KEY, ""), hashlib.sha1(payload).hexdigest(), len(payload)
+    return name, n, record.http.get(_KEY, ""), hashlib.sha1(payload).hexdigest(), len(payload), record.fields["URL"], record.fields["Archive-date"]
 
 
 def convert(names: DataFrame, arc_folder: str, warc_folder: str, key_type: str = "long",
             revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Convert the named ARC files to WARC files; the table of their names. Keys compare as ``key_type``."""
-    rows = materialize(_read_back(arc_folder, read_arc, _arc_row, "name string, number long, key string, digest string, bytes long", names), "arc-records")
-    place = F.struct(F.col("key").try_cast(key_type).alias("k"), "name", "number", "key")
+    rows = materialize(_read_back(arc_folder, read_arc, _arc_row, "name string, number long, key string, digest string, bytes long, url string, date string", names), "arc-records")
+    place = F.struct(F.col("key").try_cast(key_type).alias("k"), "name", "number", "key", "url", "date")
     large = rows.filter(F.col("bytes") >= revisit_bytes)
     responses = large.groupBy("digest").agg(F.max(place).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     revisits = (large.join(responses, "digest").filter("name != kept.name OR number != kept.number")
-                .groupBy("name").agg(F.collect_list(F.struct("number", F.col("kept.key").alias("key"))).alias("revisits")))
+                .groupBy("name").agg(F.collect_list(F.struct("number", "kept.key", "kept.url", "kept.date")).alias("revisits")))
 
     def converted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, told in zip(batch["name"], batch["revisits"]):
-                refers = {r["number"]: r["key"] for r in told} if told is not None else {}
+                refers = {r["number"]: Response(r["key"], r["url"], r["date"]) for r in told} if told is not None else {}
                 target = name.replace(".arc.", ".warc.")
                 out = _Writer(warc_folder, target)
+                out.write(_member(warc_info(target)))
                 for n, record in enumerate(_records(arc_folder, name, read_arc)):
                     out.write(_member(warc_record(record, refers.get(n))))
                 out.close()
@@ -262,8 +284,10 @@ def convert(names: DataFrame, arc_folder: str, warc_folder: str, key_type: str =
     return materialize(_spread(names.join(revisits, "name", "left")).mapInPandas(converted, "name string"), "warc-names")
 
 
-def _warc_row(_: str, __: int, record: tuple[dict[str, str], bytes]) -> tuple:
+def _warc_row(_: str, __: int, record: tuple[dict[str, str], bytes]) -> tuple | None:
     headers, block = record
+    if headers["WARC-Type"] == "warcinfo":
+        return None
     http = ArcRecord({}, block)
     digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     revisit = headers["WARC-Type"] == "revisit"
@@ -274,10 +298,13 @@ def _warc_row(_: str, __: int, record: tuple[dict[str, str], bytes]) -> tuple:
     return http.http.get(_KEY, ""), headers["WARC-Target-URI"], headers["WARC-Type"], digest, size, headers.get("X-Refers-To-Key"), payload
 
 
-def read_archives(names: DataFrame, folder: str) -> DataFrame:
+def read_archives(names: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """(key, url, record_type, payload_digest, payload_bytes, refers_to, payload) of all records of the named WARC files.
 
-    The digest and length of a revisit are those of the full payload it stands for.
+    The digest and length of a revisit are those of the full payload it stands for. Without ``payloads``
+    they are checked where they are read and not sent on.
     """
-    return _read_back(folder, read_warc, _warc_row, "key string, url string, record_type string, payload_digest string, "
-                      "payload_bytes long, refers_to string, payload binary", names)
+    schema = "key string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string"
+    if payloads:
+        return _read_back(folder, read_warc, _warc_row, f"{schema}, payload binary", names)
+    return _read_back(folder, read_warc, lambda *told: row[:-1] if (row := _warc_row(*told)) else None, schema, names)
