@@ -34,14 +34,24 @@ def test_word_encoder_equals_the_library(path, llm_spark, sf_dir):
             assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
-def test_word_table_is_emptied(monkeypatch):
+def test_encoders_of_the_files(llm_spark, sf_dir):
+    """The faster way of byte-level vocabularies gives the library's ids; other vocabularies take the other one."""
+    assert isinstance(tokens.encoder(BYTE), tokens.ByteEncoder) and isinstance(tokens.encoder(WORD), tokens.WordEncoder)
+    own, library = tokens.encoder(BYTE), Tokenizer.from_file(BYTE)
+    every = "".join(chr(c) for c in range(0x250))
+    for t in ODD + [every, " ".join(every), "\n".join(every), "x\n\n\ny", "\n", "end\n", "don't we'll I'M 'sx ''s"] + [
+            r["text"] for r in read_table(llm_spark, sf_dir, "documents").select("text").collect()]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, (t or "")[:80]
+
+
+def test_word_tables_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "WORDS_HELD", 5)
     monkeypatch.setattr(tokens, "PARTS_HELD", 5)
     own, library = tokens.WordEncoder(BYTE), Tokenizer.from_file(BYTE)
     for k in range(30):
-        text = f"word{k} more{k % 7} and{k}"
+        text = f"word{k} more{k % 7} and{k}\nline{k % 3} x"
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text).ids
-    assert len(own.words) + len(own.firsts) + len(own.parts) < 40
+    assert all(len(t) <= 5 and len(t.old) <= 5 for t in (own.words, own.firsts, own.parts))
 
 
 def check_packing(rows, docs, end, size):
@@ -230,10 +240,32 @@ def test_archives_of_odd_pages(llm_spark):
         expected[("" if i is None else str(i), len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", str(last[html]) if revisit else None)] += 1
     assert told == expected
     assert all(r["payload"] is None or hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] for r in rows)
+    # A revisit names the record, address and date of a response that is there; each archive begins with its description.
+    target = warc.convert(names, arc, out)
+    archives = [list(warc._records(out, r["name"], warc.read_warc)) for r in target.collect()]
+    assert all(a[0][0]["WARC-Type"] == "warcinfo" and all(h["WARC-Type"] != "warcinfo" for h, _ in a[1:]) for a in archives)
+    headers = [h for a in archives for h, _ in a[1:]]
+    there = {h["WARC-Record-ID"]: h for h in headers if h["WARC-Type"] == "response"}
+    revisits = [h for h in headers if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == sum(n for r, n in told.items() if r[3] == "revisit")
+    for h in revisits:
+        named = there[h["WARC-Refers-To"]]
+        assert (named["WARC-Target-URI"], named["WARC-Date"], named["WARC-Payload-Digest"]) == (
+            h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"], h["WARC-Payload-Digest"])
+    plain = warc.read_archives(target, out, payloads=False)
+    assert plain.columns == ["key", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] and plain.count() == len(rows)
     none = warc.write_arc(df.limit(0), shared_dir(llm_spark, "test-arc"))
     assert warc.read_archives(warc.convert(none, arc, out), out).count() == 0
 
 
+def test_archives_are_dealt_to_several_tasks(llm_spark):
+    names = llm_spark.createDataFrame([(f"part-{k:06d}-00000.arc.gz",) for k in range(200)], "name string").coalesce(1)
+    used = warc._spread(names).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(used) == int(llm_spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in used) < 100
+    joined = names.join(names.withColumn("more", F.lit(1)).repartition("name"), "name", "left")
+    assert len(warc._spread(joined).groupBy(F.spark_partition_id().alias("task")).count().collect()) == len(used)
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lines_of_both_versions(version):
     blocks_ = [b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\nwith http://lines 0.0.0.0", b"", b"\n\n", b"no http"]
@@ -242,7 +274,7 @@ def test_arc_lines_of_both_versions(version):
     records = list(warc.read_arc(io.BytesIO(raw)))
     assert [r.block for r in records] == blocks_ and [r.fields["URL"] for r in records] == [f"http://x/{k}" for k in range(4)]
     assert records[0].payload == b"body\nwith http://lines 0.0.0.0" and records[3].payload == b"no http"
-    written = b"".join(warc.warc_record(r, "7" if k == 0 else None) for k, r in enumerate(records))
+    written = b"".join(warc.warc_record(r, warc.Response("7", "http://y/", "20230101") if k == 0 else None) for k, r in enumerate(records))
     back = list(warc.read_warc(io.BytesIO(written)))
     assert [h["WARC-Type"] for h, _ in back] == ["revisit", "resource", "resource", "resource"]
     assert back[0][0]["WARC-Date"] == "2024-01-02T03:04:05Z" and back[0][1] == b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"[:-0 or None]

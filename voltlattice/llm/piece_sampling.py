@@ -1,11 +1,11 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut before each space; a word with its space (written as the piece alphabet's meta space)
-is one lattice, whose nodes are the places between characters and whose edges are the vocabulary's
-pieces. Characters without a piece of their own, and a literal meta space, have an edge of byte
-pieces, so that every text has a path and decoding is exact. Pieces with a meta space after their first
-character (runs of white space) are no edges, because texts are cut at every space: they are never sampled. Forward filtering sums the weights of all paths to
-each node; from the end backward, an edge is drawn in proportion to the paths that use it.
+A text is cut before each run of spaces; a word with its spaces (written as the piece alphabet's meta
+space) is one lattice, whose nodes are the places between characters and whose edges are the
+vocabulary's pieces, those of several spaces included. Characters without a piece of their own, and a
+literal meta space, have an edge of byte pieces, so that every text has a path and decoding is exact.
+Forward filtering sums the weights of all paths to each node; from the end backward, an edge is drawn
+in proportion to the paths that use it.
 
 The draws are hashes of the row's key, the word's place in the text and the step, so that a row's
 segmentation is the same in any batch, partition or run. Other seeds give other segmentations.
@@ -13,8 +13,10 @@ segmentation is the same in any batch, partition or run. Other seeds give other
 The public vocabulary is one of merges, whose scores are ranks. A piece of rank r weighs
 ``-alpha * log(r + 2)``: a larger ``alpha`` prefers few and frequent pieces.
 
-Lattices are built per batch, for its distinct words together, in arrays; memory follows the
-batch and not the corpus.
+A word's lattice doesn't depend on the row, so a worker keeps the finished ones, in arrays, and builds
+those of a batch's new words together. It starts anew beyond ``WORDS_HELD`` words, so memory follows the
+batch and that bound, not the corpus. The shares of a node's edges are summed within the node, so they
+are the same numbers in any table.
 
 Cases: null and empty texts have no piece and decode to an empty text. Rows with equal keys and texts
 are segmented alike; a null key counts as the text ``null``. An empty table gives an empty result.
@@ -23,7 +25,11 @@ are segmented alike; a null key counts as the text ``null``. An empty table give
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,9 +41,13 @@ META = "▁"
 BYTE_WEIGHT = -20.0
 #: Characters whose lattices are built together; a longer text is a batch of its own.
 BATCH_CHARS = 4_000_000
+#: Words whose lattices a worker keeps (about 60 MB).
+WORDS_HELD = 250_000
 #: Stands for a literal meta space, which no piece matches.
 _LITERAL = 0x110000
 _SHIFT = 21
+_RUN = re.compile(" +[^ ]*")
+_SPREAD, _WORD = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +74,7 @@ class Pieces:
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
                 continue
             self.bytes_of.append(piece.replace(META, " ").encode())
-            if model.is_control(i) or model.is_unknown(i) or META in piece[1:]:
+            if model.is_control(i) or model.is_unknown(i) or META in piece.lstrip(META):
                 continue
             weights[i] = -alpha * np.log(rank + 2)
             rank += 1
@@ -77,20 +87,50 @@ class Pieces:
                 at = edges[key]
             ends[at] = i
         self.weights = weights
-        self.keys = np.array(sorted(edges), np.int64)
-        self.targets = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        # Open addressing at a load of at most a half: a step is a look or two.
+        self.bits = (2 * len(edges)).bit_length() + 1
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.targets = np.full(1 << self.bits, -1, np.int64)
+        for key, target in edges.items():
+            slot = (key * _SPREAD & _WORD) >> (64 - self.bits)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.targets[slot] = key, target
         self.piece_at = np.full(states, -1, np.int64)
         self.piece_at[list(ends)] = list(ends.values())
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.held: Lattice | None = None
 
     def _step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """The trie states after the characters; -1 where there are none."""
         keys = (states << _SHIFT) | chars
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.targets[at], -1)
+        with np.errstate(over="ignore"):
+            slot = ((keys.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.targets[slot], -1)
+        going = np.flatnonzero((there != keys) & (there >= 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[going]]
+            hit = there == keys[going]
+            out[going[hit]] = self.targets[slot[going[hit]]]
+            going = going[~hit & (there >= 0)]
+        return out
 
     def lattice(self, words: list[str]) -> Lattice:
         return Lattice(self, words)
 
+    def places(self, words: Iterator[str]) -> np.ndarray:
+        """The number of each word (without its first space) in ``held``, whose lattices are made up to date."""
+        if len(self.number) > WORDS_HELD:
+            self.number, self.held = defaultdict(itertools.count().__next__), None
+        known = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64)
+        if len(self.number) > known:
+            made = self.lattice([" " + w for w in itertools.islice(self.number, known, None)])
+            self.held = made if self.held is None else self.held.extended(made)
+        return found
+
 
 class Lattice:
     """The lattices of several words, their nodes numbered one word after the other."""
@@ -99,10 +139,9 @@ class Lattice:
         sizes = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         first_char = np.cumsum(sizes) - sizes
-        # A literal meta space within a word; the leading one stands for the space.
-        literal = chars == ord(META)
-        literal[first_char] = False
-        chars[literal] = _LITERAL
+        # Spaces are the pieces' meta spaces; a literal one is a character without a piece.
+        chars[chars == ord(META)] = _LITERAL
+        chars[chars == ord(" ")] = ord(META)
         word = np.repeat(np.arange(len(words)), sizes)
         self.first = first_char + np.arange(len(words))  # one node more than characters in each word
         self.last = self.first + sizes
@@ -134,41 +173,62 @@ class Lattice:
         width = np.select([chars < 0x80, chars < 0x800, (chars < 0x10000) | (chars == _LITERAL)], [1, 2, 3], 4)
         weight = np.concatenate([pieces.weights[piece[:len(piece) - len(bare)]], BYTE_WEIGHT * width[bare]])
         by = np.argsort(end, kind="stable")
-        self.start, self.end, self.piece, weight = start[by], end[by], piece[by], weight[by]
-        self.cut = np.searchsorted(self.end, np.arange(len(chars) + len(words) + 1))
-        forward = np.full(len(chars) + len(words), -np.inf)
+        start, end, weight = start[by], end[by], weight[by]
+        nodes = len(chars) + len(words)
+        fans = np.bincount(end, minlength=nodes)
+        cut = np.concatenate([[0], np.cumsum(fans)])
+        forward = np.full(nodes, -np.inf)
         forward[self.first] = 0.0
         # Nodes at the same place of their words are filled at once.
-        place = np.arange(len(forward)) - np.repeat(self.first, sizes + 1)
+        place = np.arange(nodes) - np.repeat(self.first, sizes + 1)
         order = np.argsort(place, kind="stable")
         bounds = np.searchsorted(place[order], np.arange(1, int(sizes.max(initial=0)) + 2))
         for a, b in zip(bounds[:-1], bounds[1:]):
-            nodes = order[a:b]
-            counts = self.cut[nodes + 1] - self.cut[nodes]
+            some = order[a:b]
+            counts = fans[some]
             heads = np.cumsum(counts) - counts
-            e = np.repeat(self.cut[nodes] - heads, counts) + np.arange(counts.sum())
-            forward[nodes] = np.logaddexp.reduceat(forward[self.start[e]] + weight[e], heads)
-        share = np.exp(forward[self.start] + weight - forward[self.end])
-        total = np.cumsum(share)
-        before = np.concatenate([[0.0], total])[self.cut[self.end]]
-        #: For each edge its end node plus the share of paths through it and the node's earlier edges.
-        self.drawn = self.end + np.minimum(total - before, 1.0)
+            e = np.repeat(cut[some] - heads, counts) + np.arange(counts.sum())
+            forward[some] = np.logaddexp.reduceat(forward[start[e]] + weight[e], heads)
+        #: For each edge the share of paths to its end that take it or one of the node's earlier edges.
+        self.share = np.exp(forward[start] + weight - forward[end])
+        rank = np.arange(len(end)) - cut[end]
+        for r in range(1, int(fans.max(initial=0))):
+            later = np.flatnonzero(rank == r)
+            self.share[later] += self.share[later - 1]
+        self.start, self.piece, self.cut = start.astype(np.int32), piece[by].astype(np.int32), cut
+
+    def extended(self, more: Lattice) -> Lattice:
+        """The lattices of both, this one's words first."""
+        out = Lattice.__new__(Lattice)
+        nodes = len(self.cut) - 1
+        out.first, out.last = np.concatenate([self.first, more.first + nodes]), np.concatenate([self.last, more.last + nodes])
+        out.start = np.concatenate([self.start, more.start + np.int32(nodes)])
+        out.piece, out.share = np.concatenate([self.piece, more.piece]), np.concatenate([self.share, more.share])
+        out.cut = np.concatenate([self.cut[:-1], more.cut + self.cut[-1]])
+        return out
 
     def sample(self, words: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edge pieces (negative: -1 - character) of each word given, in order, and their number per word."""
-        at = self.last[words].copy()
-        alive = np.flatnonzero(at > self.first[words])
+        at = self.last[words]
+        begin = self.first[words]
+        alive = np.flatnonzero(at > begin)
+        at, begin, draws = at[alive], begin[alive], draws[alive]
         whose, what, steps = [], [], []
         step = 0
         while len(alive):
-            nodes = at[alive]
-            u = (_mix(draws[alive] + np.uint64(step) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(float) * 2.0**-53
-            edge = np.clip(np.searchsorted(self.drawn, nodes + u, side="right"), self.cut[nodes], self.cut[nodes + 1] - 1)
+            u = (_mix(draws + np.uint64(step) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(float) * 2.0**-53
+            edge, most = self.cut[at], self.cut[at + 1] - 1
+            # Edges are few: the first whose share exceeds the draw, else the node's last.
+            going = np.flatnonzero((self.share[edge] <= u) & (edge < most))
+            while len(going):
+                edge[going] += 1
+                going = going[(self.share[edge[going]] <= u[going]) & (edge[going] < most[going])]
             whose.append(alive)
             what.append(self.piece[edge])
-            steps.append(np.full(len(alive), step))
-            at[alive] = self.start[edge]
-            alive = alive[at[alive] > self.first[words[alive]]]
+            steps.append(np.full(len(alive), step, np.int32))
+            at = self.start[edge].astype(np.int64)
+            more = at > begin
+            alive, at, begin, draws = alive[more], at[more], begin[more], draws[more]
             step += 1
         counts = np.zeros(len(words), np.int64)
         if not whose:
@@ -185,23 +245,31 @@ def pieces(path: str, alpha: float) -> Pieces:
     return Pieces(path, alpha)
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text that begins with one more space, each without the first of its spaces."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " ":
+        return [w[1:] for w in _RUN.findall(" " + text)]
+    return text.split(" ")
+
+
 def encode_batch(model: Pieces, keys: list, texts: list[str | None], seed: int = 0) -> list[bytes]:
     """The sampled piece ids of each text, as little-endian unsigned 32-bit integers."""
     with np.errstate(over="ignore"):
-        words = [[META + w for w in t.split(" ")] if t else [] for t in texts]
-        places: dict[str, int] = {}
-        flat = np.array([places.setdefault(w, len(places)) for ws in words for w in ws], np.int64)
+        words = [words_of(t) for t in texts]
+        flat = model.places(itertools.chain.from_iterable(words))
         if not len(flat):
             return [b""] * len(texts)
         sizes = np.array([len(ws) for ws in words], np.int64)
         rows = np.array([(zlib.crc32(str(k).encode(), 1) << 32) | zlib.crc32(str(k).encode(), seed) for k in keys], np.uint64)
         number = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         draws = _mix(np.repeat(_mix(rows + np.uint64(seed)), sizes) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        found, counts = model.lattice(list(places)).sample(flat, draws)
+        found, counts = model.held.sample(flat, draws)
         per_word = np.repeat(np.arange(len(flat)), counts)
         bare = np.flatnonzero(found < 0)
         if len(bare):
-            spelled = {c: list((META if c == _LITERAL else chr(c)).encode()) for c in np.unique(-1 - found[bare]).tolist()}
+            spelled = {c: list((META if c == _LITERAL else " " if c == ord(META) else chr(c)).encode()) for c in np.unique(-1 - found[bare]).tolist()}
             repeats = np.ones(len(found), np.int64)
             repeats[bare] = [len(spelled[-1 - c]) for c in found[bare].tolist()]
             first = np.cumsum(repeats) - repeats
