@@ -236,8 +236,12 @@ def _records(folder: str, name: str, reader) -> Iterator:
 
 
 def _spread(names: DataFrame) -> DataFrame:
-    """The archives dealt to the session's number of partitions: with an explicit number, short lists of names aren't merged into one task."""
-    return names.repartition(partitions(names.sparkSession), "name")
+    """The archives dealt to the session's number of partitions.
+
+    With an explicit number, short lists of names aren't merged into one task; by a hash of the name, not the
+    name, the deal isn't taken for that of a join before it, which would be merged.
+    """
+    return names.repartition(partitions(names.sparkSession), F.xxhash64("name"))
 
 
 def _read_back(folder: str, reader, told, schema: str, names: DataFrame) -> DataFrame:
