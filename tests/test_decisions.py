@@ -114,6 +114,64 @@ def test_decisions(spark, small):
         assert r.selected_station.station_id not in {a["station_id"] for a in r.alternatives}
 
 
+def test_diagnostics_and_context_of_a_decision(spark, small):
+    stations, history = small
+    from voltlattice.operators import forest
+    from voltlattice.schemas import FEATURE_COLS
+
+    rng = random.Random(3)
+    rows = [(*(rng.random() for _ in FEATURE_COLS), rng.random()) for _ in range(200)]
+    known = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*FEATURE_COLS, "occupancy_rate"]))
+    model = forest.train(known, trees=5, depth=3, min_leaf=5)
+    plain = {r.request_id: r for r in decision.decide(ask(spark, "A", "B", "D"), stations, history)[0].collect()}
+    assert all(r.tree_dispersion is None and r.top_feature_context is None for r in plain.values())
+    decisions, alternatives = decision.decide(ask(spark, "A", "B", "D"), stations, history, model=model, top_features=4)
+    for r in decisions.collect():
+        assert r.tree_dispersion.estimator_count == 5 and r.tree_dispersion.tree_min <= r.tree_dispersion.tree_mean <= r.tree_dispersion.tree_max
+        assert r.tree_dispersion.tree_mean == pytest.approx(r.selected_station.predicted_occupancy, abs=2e-4)
+        assert [f.feature for f in r.top_feature_context] == [n for n, _ in forest.importance_list(model)[:4]]
+    explained, _ = decision.decide(ask(spark, "A", "B", "D"), stations, history, model=model, explain_only=True)
+    for r in explained.collect():
+        assert r.recommendation == plain[r.request_id].recommendation and r.selected_station == plain[r.request_id].selected_station
+
+    vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.8, 0.6]), ("c3", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    chunks = spark.createDataFrame([(c, "doc.md", "Title", f"text of {c}") for c in ("c1", "c2", "c3")], "chunk_id string, source string, section_title string, text string")
+    asked = spark.createDataFrame([("CRITICAL", [1.0, 0.0]), ("AVAILABLE", [-1.0, 0.0])], "status string, embedding array<double>")
+    base = decision.decide(ask(spark, "A", "B", "D"), stations, history)[0]
+    told = {r.selected_station.status: r for r in decision.with_retrieval_context(base, asked, vectors, chunks).collect()}
+    context = told["CRITICAL"].retrieval_context
+    assert "CRITICAL occupancy prediction" in context.question and context.grounded
+    assert [(x.rank, x.chunk_id) for x in context.sources] == [(1, "c1"), (2, "c2")]
+    for status, r in told.items():
+        assert r.recommendation == plain[r.request_id].recommendation
+        if status == "AVAILABLE":
+            assert not r.retrieval_context.grounded and r.retrieval_context.sources == []
+
+
+def test_a_large_pool_moves_its_lowest_candidates_only(spark):
+    members = spark.range(20000).select(
+        F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id"), F.lit("p").alias("pool"), F.lit(NOW).alias("ts"),
+        (F.col("id") % 5000 / 10000).alias("predicted_occupancy")).repartition(8)
+    kept = ranking.reachable(members, 3, ["pool", "ts"])
+    assert sorted({r.predicted_occupancy for r in kept.collect()}) == [0.0] and kept.count() == 4
+    few = ranking.reachable(members, 9, ["pool", "ts"]).groupBy("predicted_occupancy").agg(F.count(F.lit(1)).alias("n"), F.max("ties").alias("ties"))
+    assert {(r.predicted_occupancy, r.n, r.ties) for r in few.collect()} == {(0.0, 4, 4), (0.0001, 4, 4), (0.0002, 4, 4)}
+
+
+def test_a_crowded_cell_is_dealt_out(spark):
+    """100,000 users in one cell: every pair is found once, and no part of the join holds more than its share."""
+    users = spark.range(100_000).select(F.col("id").alias("request_id"), (F.lit(18.5) + F.col("id") % 100 * 1e-5).alias("user_lat"), F.lit(73.8).alias("user_lon"))
+    users = users.unionByName(spark.createDataFrame([(-1, 50.0, 0.0), (-2, 18.6, 73.8)], "request_id long, user_lat double, user_lon double"))
+    places = spark.createDataFrame([("a", 18.51, 73.8), ("b", 18.6, 73.8), ("far", 40.0, 73.8)], "station_id string, latitude double, longitude double")
+    pairs = ranking.within_radius(users, places, 25.0)
+    assert pairs.count() == 200_002 and pairs.select("request_id", "station_id").distinct().count() == 200_002
+    assert {r.station_id for r in pairs.select("station_id").distinct().collect()} == {"a", "b"}
+    plain = ranking.within_radius(users, places, 25.0, crowded_share=1)
+    assert plain.count() == 200_002
+    dealt = users.withColumn("_part", F.pmod(F.xxhash64(*users.columns), F.lit(ranking.CROWDED_SHARE))).groupBy("_part").count()
+    assert dealt.agg(F.max("count")).first()[0] < 100_000 / ranking.CROWDED_SHARE * 1.5
+
+
 def test_requested_number_of_alternatives(spark, small):
     _, alternatives = decision.decide(ask(spark, "C", limit=1), *small)
     assert alternatives.count() == 1

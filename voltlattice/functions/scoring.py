@@ -4,6 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from voltlattice.functions.rounding import pround
 
+# Weights of the sub-scores.
 WEIGHTS = {"distance": 0.35, "availability": 0.30, "wait_time": 0.20, "amenities": 0.10, "tariff": 0.05}
 SCORES = {
     "distance": "proximity_score",
@@ -38,6 +39,7 @@ VEHICLE_PROVIDERS = {
     "BYD Atto 3": ["ChargeZone", "BPCL EV", "Tata Power EZ"],
 }
 
+# The reroute policy.
 BUSY_THRESHOLD = 0.70
 MIN_IMPROVEMENT = 0.10
 
