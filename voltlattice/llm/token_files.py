@@ -8,7 +8,7 @@ A folder holds, for each block of documents in ascending id order,
   whole corpus, and after the last document the place of the next block's first;
 * ``index``: a Parquet table (block, row, doc_id, n_tokens).
 
-Documents are range-partitioned by id once; each partition encodes its texts and streams one
+Documents are range-partitioned by id, and those of one id by how their texts begin, once; each partition encodes its texts and streams one
 tokens file. Block bases are prefix sums of the block totals, one number per block. Files are
 written under a temporary name and then moved, and their content depends on the block alone, so a
 task that is run again or twice leaves the same files. Readers map the files into memory where the
@@ -35,6 +35,8 @@ from voltlattice.llm.common import partitions, text_of
 from voltlattice.llm.tokens import encoder
 
 _OFFSET = np.dtype("<i8")
+#: Bytes of texts in a block, about, and characters of a text by which rows of one id are dealt to blocks.
+BLOCK_BYTES, PREFIX_CHARS = 64 << 20, 64
 
 
 def _store(path: str):
@@ -104,11 +106,15 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, kind:
         out.close()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    placed = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Blocks are as many as the bytes need; an id of many rows is spread over several, in the order of its texts.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(partitions(spark), -(-size // BLOCK_BYTES))
+    placed = rows.repartitionByRange(blocks, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX_CHARS)).sortWithinPartitions(
+        F.col("doc_id").asc_nulls_first(), "text")
     placed.mapInPandas(encoded, f"block int, row long, doc_id {key}, n_tokens long").write.parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
     totals = index.groupBy("block").agg(F.sum("n_tokens").alias("tokens"))
-    # One row per block: a prefix sum over as many rows as there are shuffle partitions.
+    # One row per block: a prefix sum over as many rows as there are blocks.
     bases = totals.select("block", (F.sum("tokens").over(Window.orderBy("block")) - F.col("tokens")).alias("base"))
 
     def offsets(group: pd.DataFrame) -> pd.DataFrame:
