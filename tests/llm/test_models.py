@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltlattice.llm import language_id, quality_rank
 from voltlattice.llm.catalog import QUERIES
-from voltlattice.llm.common import read_table
+from voltlattice.llm.common import materialize, read_table
 
 
 def test_quality_on_held_out_documents(llm_spark):
@@ -58,8 +58,8 @@ def test_threshold_covers_all_labelled_documents(llm_spark, monkeypatch):
 
 def test_a_repeated_id_counts_once_in_a_fit(llm_spark):
     sf = "/root/testdata/sf0.001"
-    docs, labels = read_table(llm_spark, sf, "documents").limit(60).localCheckpoint(), read_table(llm_spark, sf, "labels")
-    one = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(1).localCheckpoint()
+    docs, labels = materialize(read_table(llm_spark, sf, "documents").limit(60), "test-documents"), read_table(llm_spark, sf, "labels")
+    one = materialize(docs.join(labels.filter("quality = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(1), "test-document")
     copies = docs.union(one.crossJoin(llm_spark.range(300).select()))
     plain, repeated = quality_rank.fit(docs, labels), quality_rank.fit(copies, labels)
     assert copies.count() == 360
