@@ -70,6 +70,7 @@ class WordEncoder:
         self.special = [t["content"] for t in told["added_tokens"]]
         #: A normaliser that folds white space and case drops spaces: words then need no leading one.
         self.normalize = self.whole.normalizer.normalize_str if self.whole.normalizer else None
+        self.space = _ALPHABET[32]
         self.line_end = b"" if self.normalize else array("I", [t.id for t in self.tokenize(_ALPHABET[10])]).tobytes()
         #: Ids of pre-tokens (in bytes' characters), of words after a space, and of a text's first words.
         self.parts = _Table(lambda part: array("I", [t.id for t in self.tokenize(part)]).tobytes(), PARTS_HELD)
@@ -80,6 +81,11 @@ class WordEncoder:
         return text.encode().decode("latin-1").translate(_ALPHABET)
 
     def _word(self, lead: str, word: str) -> bytes:
+        letters = word.rstrip(string.punctuation)
+        if letters.isascii() and letters.isalpha():
+            # Most words: their letters stand for themselves in the byte alphabet.
+            ids = self.parts[letters.lower() if self.normalize else self.space + letters if lead else letters]
+            return ids if len(letters) == len(word) else ids + self.parts[word[len(letters):]]
         out = []
         for k, line in enumerate(word.split("\n")):
             letters = line.rstrip(string.punctuation)
