@@ -224,3 +224,12 @@ def test_quality_report_counts_arrivals_and_lags_across_days(spark):
         wrong = featured.withColumn("lag_1h", F.col("lag_1h") + F.when(F.hour("timestamp") == hour, 0.25).otherwise(0.0))
         first = featured.groupBy("station_id").agg(F.min("timestamp").alias("t")).filter(F.hour("t") == hour).count()
         assert quality.lag_mismatches(wrong).first()[0] == featured.filter(F.hour("timestamp") == hour).count() - first
+
+
+def test_hours_of_few_stations_are_made_in_many_tasks(spark):
+    from voltlattice.operators import spine
+
+    stations = spark.createDataFrame([(f"S{i}",) for i in range(40)], "station_id string").coalesce(1)
+    bounds = [F.lit(x).cast("timestamp_ntz") for x in ("2025-01-01 00:00:00", "2025-01-01 04:00:00")]
+    hours = spine.hour_spine(stations, *bounds)
+    assert hours.count() == 200 and hours.select(F.spark_partition_id()).distinct().count() > 1

@@ -289,3 +289,11 @@ def test_every_dashboard_table_and_column_is_shown(spark, sf_dir):
     assert tables.keys() == aggregates.DASHBOARD.keys() and len(tables) == 19
     for name, (_, keys, columns) in aggregates.DASHBOARD.items():
         assert sorted(tables[name].columns) == sorted([*keys, *columns]), name
+
+
+def test_dashboard_tables_share_written_inputs(spark, sf_dir):
+    from voltlattice.plans import network
+
+    tables = network.network_dashboard(fixtures.stations(spark, sf_dir), fixtures.sessions(spark, sf_dir), fixtures.status(spark, sf_dir))
+    for name, source in [("kpis", "status"), ("alerts", "status"), ("segments", "sessions"), ("expansion", "stations")]:
+        assert any(f"dashboard-{source}-" in f for f in tables[name].inputFiles())

@@ -1,11 +1,15 @@
-"""All dashboard tables as named, lazy DataFrames."""
+"""All dashboard tables as named DataFrames over their three inputs, which are written once."""
 
 from pyspark.sql import DataFrame
 
 from voltlattice.operators import dashboard as d
+from voltlattice.session import materialize
 
 
 def network_dashboard(stations: DataFrame, sessions: DataFrame, status: DataFrame) -> dict[str, DataFrame]:
+    # Nineteen tables read these; worked out anew for each, their joins would be as many broadcasts held by the driver.
+    stations, sessions = materialize(stations, "dashboard-stations"), materialize(sessions, "dashboard-sessions")
+    status = materialize(status, "dashboard-status")
     profile = d.hourly_profile(sessions)
     return {
         "kpis": d.network_kpis(status),
