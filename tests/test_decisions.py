@@ -201,3 +201,61 @@ def test_recommendations(spark):
     assert [r.station_id for r in rows] == ["B", "A"]  # C does not fit the vehicle, D is too far
     assert rows[0].explanation.startswith("✅ 3 slots available now | ⚡ Near-zero wait time")
     assert rows[1].explanation.startswith("📍 Only 0.0 km away")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_of_a_decision_are_not_broadcast(spark):
+    """Spark judges a written table by its files, which may be a hundredth of its rows in memory."""
+    kept = spark.createDataFrame([("p", 0.1, "S1", 18.5, 73.8, "Pune", "BUSY")],
+                                 "pool string, predicted_occupancy double, station_id string, latitude double, longitude double, city string, status string")
+    targets = spark.createDataFrame([("p", 1, "S0", 18.5, 73.8, 0.9)],
+                                    "pool string, request_id long, _self string, _lat double, _lon double, target_occupancy double")
+    near = plan_of(ranking.nearest_ties(targets, kept, 3, ["pool"]))
+    assert near.count("SortMergeJoin") >= 2  # with the cells of the targets and with those of the ties
+    assert "BroadcastHashJoin" not in plan_of(ranking.reachable(kept, 3, ["pool"]))
+
+
+def test_places_of_a_radius_join_are_dealt_and_not_broadcast(spark):
+    users = spark.createDataFrame([(i, 18.5, 73.8) for i in range(9)], "request_id long, user_lat double, user_lon double")
+    places = spark.createDataFrame([("S1", 18.5, 73.8)], "station_id string, latitude double, longitude double")
+    found = ranking.within_radius(users, places, 25.0)
+    plan = plan_of(found)
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
+    assert found.count() == 9
+
+
+def test_recommendations_move_few_candidates_and_match_brute_force(spark):
+    rng = random.Random(3)
+    kinds = ["AC Type 2 (7.4 kW)", "AC Type 2 (22 kW)", "DC CCS2 (50 kW)"]
+    rows = []
+    for i in range(160):
+        free, wait = rng.randrange(5), rng.choice([0.0, 4.0, 20.0, None])
+        rows.append((f"S{i:03d}", "n", "Pune", "op", rng.choice(kinds), 4, free, 4 - free, 0, 1.0, wait, 50.0, "BUSY",
+                     18.5 + rng.uniform(-0.1, 0.1), 73.8 + rng.choice([0.0, 0.05]), NOW, rng.choice([2.0, 8.0, 8.0]), rng.choice([9.0, 12.0])))
+    details = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.STATUS)
+    places = spark.createDataFrame(rows, f"{details}, amenities_score double, tariff_per_kwh double")
+    people = [(i, 18.5 + rng.uniform(-0.1, 0.1), 73.8, rng.choice(["Ather 450X", "Tata Nexon EV"])) for i in range(6)]
+    people += [(1, *people[1][1:]), (None, 18.52, 73.8, "Ather 450X"), (None, 18.47, 73.8, "Tata Nexon EV")]
+    users = spark.createDataFrame(people, "request_id long, user_lat double, user_lon double, vehicle_type string")
+
+    from pyspark.sql import Window as W
+
+    from voltlattice.functions import scoring
+
+    raw = recommendation.near(users, places, 25.0).withColumns(scoring.sub_scores(
+        F.col("distance_km"), F.col("available_slots"), F.col("total_slots"), F.col("estimated_wait_mins"), F.col("amenities_score"), F.col("tariff_per_kwh")))
+    mine = W.partitionBy("request_id")
+    scaled = raw.withColumns({c: scoring.min_max(F.col(c), F.min(c).over(mine), F.max(c).over(mine)) for c in scoring.SCORES.values()})
+    order = mine.orderBy(F.desc("final_score"), "station_id")
+    columns = ["request_id", "rank", "station_id", "final_score", *scoring.SCORES.values()]
+
+    def told(df):
+        best = df.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select(*columns)
+        return sorted(map(tuple, best.collect()), key=repr)
+
+    kept = recommendation.contenders(users, places, 25.0, 3)
+    assert told(kept) == told(scaled.withColumn("final_score", scoring.weighted_score()))
+    assert raw.count() > 10 * kept.count()
