@@ -233,3 +233,14 @@ def test_hours_of_few_stations_are_made_in_many_tasks(spark):
     bounds = [F.lit(x).cast("timestamp_ntz") for x in ("2025-01-01 00:00:00", "2025-01-01 04:00:00")]
     hours = spine.hour_spine(stations, *bounds)
     assert hours.count() == 200 and hours.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_hours_of_sessions_in_one_file_are_made_in_many_tasks(spark):
+    from voltlattice.operators import spine
+
+    rows = [("hot", dt.datetime(2025, 1, 1, h), dt.datetime(2025, 1, 1, h + 2, 30)) for h in range(20)] * 2
+    sessions = spark.createDataFrame(rows, "station_id string, start_time timestamp_ntz, end_time timestamp_ntz").coalesce(1)
+    hours = spine.active_hours(sessions, F.lit("2025-01-01 12:00:00").cast("timestamp_ntz"))
+    counts = {r.timestamp.hour: r["count"] for r in hours.groupBy("timestamp").count().collect()}
+    assert counts == {h: 2 * min(h + 1, 3) for h in range(13)}
+    assert hours.select(F.spark_partition_id()).distinct().count() > 1
