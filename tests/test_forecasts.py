@@ -202,6 +202,44 @@ def test_large_nodes_are_split_by_all_tasks(spark):
         assert sorted(x for x in flat(whole) if x[0] < 0) == sorted(x for x in flat(parts) if x[0] < 0)
 
 
+def test_trees_are_sent_some_at_a_time(spark, monkeypatch):
+    """Batches of trees and slabs of rows give the trees of one pass, and shuffle files go when a batch is written."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(rng.integers(0, 20)), float(rng.normal()), float(rng.integers(0, 9))) for _ in range(2000)], "a double, b double, y double").repartition(5)
+    real, made, seen = growing._grown, [], []
+
+    def told(*args):
+        seen.append((list(args[2]), spark.conf.get(growing.CLEANUP)))
+        return real(*args)
+
+    monkeypatch.setattr(growing, "_grown", told)
+    before = spark.conf.get(growing.CLEANUP)
+    for rows, least, slab in ((1 << 27, 8, 1 << 22), (1, 2, 100)):
+        for name, value in (("BATCH_ROWS", rows), ("LEAST_TREES", least), ("SLAB_ROWS", slab)):
+            monkeypatch.setattr(growing, name, value)
+        path = shared_dir(spark, "forest")
+        rows = growing.fit(df, ["a", "b"], "y", path, 5, 6, 5, 1, 32, local_rows=400).collect()
+        assert sorted(r.tree for r in rows) == list(range(5))
+        made.append([read_blob(path, forest._file(t), growing.NODE) for t in range(5)])
+    assert seen == [(part, "true") for part in ([0, 1, 2, 3, 4], [0, 1], [2, 3], [4])]
+    assert spark.conf.get(growing.CLEANUP) == before
+    for one, other in zip(*made):
+        assert all((one[c] == other[c]).all() for c in ("feature", "bin", "rows"))
+
+
+def test_rows_reach_the_leaves_of_a_plain_descent():
+    rng = np.random.default_rng(7)
+    tree = np.zeros(7, growing.NODE)
+    tree["feature"], tree["threshold"], tree["child"] = [0, 1, -1, -1, 0, -1, -1], [0.0, 0.5, 0, 0, -1.0, 0, 0], [1, 3, 0, 0, 5, 0, 0]
+    rows = np.concatenate([rng.normal(size=(200, 2)), [[np.nan, np.inf], [-np.inf, np.nan], [np.inf, -np.inf]]])
+
+    def plain(row, n=0):
+        return n if tree["feature"][n] < 0 else plain(row, tree["child"][n] + int(row[tree["feature"][n]] > tree["threshold"][n]))
+
+    assert growing.descend(tree, tree["threshold"], np.inf, rows).tolist() == [plain(r) for r in rows]
+    assert growing.descend(tree, tree["threshold"], np.inf, rows[:0]).tolist() == []
+
+
 def test_a_forest_is_fitted_once_for_a_table(spark, monkeypatch):
     df = spark.createDataFrame([(float(k % 7), float(k % 3), float(k % 7 > 2)) for k in range(300)], "a double, b double, y double")
     fits = []
