@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_features import make_hourly
 from voltlattice import schemas
 from voltlattice.catalog import aggregates, forecasts
-from voltlattice.operators import boosting, forest, growing, metrics
+from voltlattice.operators import boosting, forest, growing, metrics, windows
 from voltlattice.plans import serving, training
 from voltlattice.session import shared_dir
 from voltlattice.sources import files, fixtures
@@ -202,6 +202,43 @@ def test_large_nodes_are_split_by_all_tasks(spark):
         assert sorted(x for x in flat(whole) if x[0] < 0) == sorted(x for x in flat(parts) if x[0] < 0)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_large_nodes_are_counted_by_the_smaller_child(monkeypatch, whole):
+    """Joint histograms, and siblings as what is left of their parent, give the same trees for less counting."""
+    rng = np.random.default_rng(8)
+    edges = [np.arange(n, dtype=float) for n in (30, 12, 5, 1, 40, 7)]
+    codes = np.stack([rng.integers(0, len(e) + 1, 6000) for e in edges], axis=1).astype(np.uint8)
+    # Sums of quarters are exact in any order; those of other numbers have rounding errors.
+    target = rng.integers(0, 9, 6000) / 4.0 + (codes[:, 0] > 11) if whole else np.sin(codes[:, 0]) * codes[:, 1] + rng.normal(size=6000)
+    target[codes[:, 1] == 3] = 0.3
+    weight, real, counted, made = rng.poisson(1.0, 6000).astype(np.uint8), np.bincount, [], []
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: counted.append(len(x)) or real(x, *a, **k))
+    for name, value in (("CHUNK_ROWS", 500), ("JOINT_CELLS", 64)):
+        monkeypatch.setattr(growing, name, value)
+    for many, most in ((1 << 40, 1), (1, 1 << 22), (1, 12 * growing.Bins(edges).cells)):
+        monkeypatch.setattr(growing, "MANY_ROWS", many)
+        monkeypatch.setattr(growing, "MOST_CELLS", most)
+        counted.clear()
+        made.append((growing.grow(codes, target, weight, edges, 7, 5), sum(counted)))
+    (plain, plainly), (upper, fewer), (part, _) = made
+    assert fewer < 0.6 * plainly
+    for tree in (upper, part):
+        for name in ("feature", "bin", "threshold", "child", "rows"):
+            assert tree[name].tolist() == plain[name].tolist()
+        assert np.allclose(tree["value"], plain["value"]) and np.allclose(tree["gain"], plain["gain"])
+
+
+def test_cut_times_read_written_features(spark, monkeypatch):
+    """The split asks for the features' hours; the lags and windows are not made again for them."""
+    seen, real = [], windows.split_label
+    monkeypatch.setattr(windows, "split_label", lambda df, **k: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, **k))
+    rows = spark.range(400).selectExpr("'s' AS station_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, id) AS timestamp", "double(id % 7) / 7 AS occupancy_rate",
+                                       "20.0D AS temperature_c", "id % 2 = 0 AS is_weekend", "false AS is_holiday")
+    monkeypatch.setattr(forecasts, "history", lambda *_: rows)
+    made = forecasts.features(spark, "")
+    assert len(seen) == 1 and "Window" not in seen[0] and made.count() == 400 - 168
+
+
 def test_trees_are_sent_some_at_a_time(spark, monkeypatch):
     """Batches of trees and slabs of rows give the trees of one pass, and shuffle files go when a batch is written."""
     rng = np.random.default_rng(6)
