@@ -34,6 +34,19 @@ def test_word_encoder_equals_the_library(path, llm_spark, sf_dir):
             assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_folded_texts_are_cut_as_a_whole():
+    """Odd letters, digits and punctuations of usual texts give the library's ids; forms of one word share a part."""
+    own, library = tokens.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    rng = np.random.default_rng(4)
+    some = list("aZ'stredlvm .,_-9\u00b2\u00bd\u00aa\u00b5\u00df\u0130\u0181\u023a\n\t<|\u00ad")
+    texts = ["".join(rng.choice(some, 12)) for _ in range(3000)] + [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}" for c in range(0x250)] + ["x <|endoftext|> Y"]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    held = tokens.WordEncoder(WORD)
+    held.encode("Haanth. haanth, HAANTH haanth! haanth")
+    assert sum(map(len, (held.words, held.parts, held.folded))) == 4  # the word, a full stop, a comma, an exclamation mark
+
+
 def test_encoders_of_the_files(llm_spark, sf_dir):
     """The faster way of byte-level vocabularies gives the library's ids; other vocabularies take the other one."""
     assert isinstance(tokens.encoder(BYTE), tokens.ByteEncoder) and isinstance(tokens.encoder(WORD), tokens.WordEncoder)

@@ -1,6 +1,7 @@
 """Exact encoding with a public tokenizer, with the ids of repeated words kept per worker.
 
-Pre-tokenisation cuts at every single space between two other characters, so the ids of a text are
+A vocabulary that folds white space and case has its usual texts lower-cased and cut as a whole, and each part looked
+up. Otherwise pre-tokenisation cuts at every single space between two other characters, so the ids of a text are
 the ids of its words one after the other. Each word is encoded once and looked up afterwards: plain
 ones (letters and final punctuation) by the library's model directly, all others by its normaliser,
 pre-tokeniser and model. A single line end between two words is a word's end too. Tables hold twice
@@ -15,10 +16,13 @@ import functools
 import json
 import re
 import string
+import unicodedata
 from array import array
 
 WORDS_HELD = 150_000
 PARTS_HELD = 200_000
+#: Fixed value: the cut of vocabularies whose normaliser folds white space and case.
+FOLDED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 #: Up to here a letter is its own normal form, and Python's and the library's letters are the same.
@@ -35,6 +39,20 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+#: Characters that both libraries are sure to class alike.
+_SURE = re.compile("[^\t\n -~\u00a1-\u024f]")
+
+
+def _folded() -> re.Pattern:
+    """``FOLDED`` for lower-case texts of sure characters; some of those have lower-case letters beyond them."""
+    sure = sorted({c for k in range(0x250) for c in (chr(k), *chr(k).lower())})
+
+    def chars(kind: str) -> str:
+        return "".join(c for c in sure if unicodedata.category(c).startswith(kind))
+
+    return re.compile(FOLDED.replace("\\p{L}", chars("L")).replace("\\p{N}", chars("N")))
+
+
 class _Table(dict):
     """Values that are made when they are first asked for; of ``most`` entries and as many older ones."""
 
@@ -53,6 +71,15 @@ class _Table(dict):
         return value
 
 
+def _folds(told: dict) -> bool:
+    """Whether the file's tokenizer folds white space and case, and cuts by ``FOLDED``."""
+    steps = (told.get("normalizer") or {}).get("normalizers", [])
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    return (plain and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": FOLDED}
+            and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"])
+
+
 class WordEncoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
 
@@ -76,6 +103,9 @@ class WordEncoder:
         self.parts = _Table(lambda part: array("I", [t.id for t in self.tokenize(part)]).tobytes(), PARTS_HELD)
         self.words = _Table(functools.partial(self._word, "" if self.normalize else " "), WORDS_HELD)
         self.firsts = _Table(functools.partial(self._word, ""), WORDS_HELD // 4)
+        #: Ids of pre-tokens as they stand in a folded text, and how it is cut into them, if it is the known way.
+        self.folded = _Table(lambda part: array("I", [t.id for t in self.tokenize(self._mapped(part))]).tobytes(), PARTS_HELD)
+        self.cut = _folded().findall if _folds(told) else None
 
     def _mapped(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(_ALPHABET)
@@ -105,6 +135,9 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
+        if self.cut and not _SURE.search(text) and not any(s in text for s in self.special):
+            # One table of parts for all cases and punctuations of a word.
+            return b"".join(map(self.folded.__getitem__, self.cut(text.lower())))
         if self.normalize:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         uneven = ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " "
@@ -124,8 +157,6 @@ class WordEncoder:
 
 #: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that both libraries are sure to class alike.
-_SURE = re.compile("[^\t\n -~\u00a1-\u024f]")
 
 
 class ByteEncoder:
