@@ -357,3 +357,18 @@ def test_blocks_ascend_and_are_balanced(llm_spark):
     assert [b for _, b in known] == sorted(b for _, b in known) and cut.count > 30
     assert max(collections.Counter(b for _, b in known).values()) < 300
     assert [r["b"] for r in rows if r["k"] is None] == [0]
+
+
+def test_joined_lattices_are_one_copy(llm_spark):
+    """Lattices of later words are added to those held, and draws are those of lattices that are built at once."""
+    from voltlattice.llm import piece_sampling
+
+    texts, keys = ["one two three", "two, four", "five one  ", None, "", "Straße ▁ x"], list("abcdef")
+    at_once, by_one = piece_sampling.Pieces(PIECE), piece_sampling.Pieces(PIECE)
+    want = piece_sampling.encode_batch(at_once, keys, texts)
+    got, held = [], None
+    for key, text in zip(keys, texts):
+        got += piece_sampling.encode_batch(by_one, [key], [text])
+        assert held is None or by_one.held is held
+        held = by_one.held
+    assert got == want
