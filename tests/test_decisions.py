@@ -259,3 +259,28 @@ def test_recommendations_move_few_candidates_and_match_brute_force(spark):
     kept = recommendation.contenders(users, places, 25.0, 3)
     assert told(kept) == told(scaled.withColumn("final_score", scoring.weighted_score()))
     assert raw.count() > 10 * kept.count()
+
+
+def test_groups_of_few_requests_are_paired_whole(spark, monkeypatch):
+    """Each tie would be repeated for every level of the grid, far more rows than a few requests have pairs."""
+    stations = [s for s in network(levels=1) if s["valid"]]
+    rows = [("p", s["station_id"], s["latitude"], s["longitude"], s["city"], "x", 0.1, "BUSY", NOW) for s in stations]
+    scored = spark.createDataFrame(rows, "standard string, station_id string, latitude double, longitude double, city string, name string, "
+                                         "predicted_occupancy double, status string, ts timestamp")
+    scored = scored.withColumn("city", F.lit("Pune"))
+    pool = F.struct("city", "standard").alias("pool")
+    targets = scored.limit(5).select("station_id", "latitude", "longitude", "ts", pool, F.lit(0.9).alias("target_occupancy"),
+                                     F.xxhash64("station_id").alias("request_id"))
+    searched, search = [], ranking.nearest_ties
+
+    def watched(asked, ties, k, group):
+        searched.append(ties.count())
+        return search(asked, ties, k, group)
+
+    monkeypatch.setattr(ranking, "nearest_ties", watched)
+
+    def found(**options):
+        return sorted(map(str, ranking.top_alternatives(targets, scored, 3, ["ts"], 4, **options).collect()))
+
+    assert found() == found(direct_requests=0) and len(found()) == 15
+    assert searched[:2] == [0, len(stations)]
