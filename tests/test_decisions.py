@@ -284,3 +284,14 @@ def test_groups_of_few_requests_are_paired_whole(spark, monkeypatch):
 
     assert found() == found(direct_requests=0) and len(found()) == 15
     assert searched[:2] == [0, len(stations)]
+
+
+def test_pairs_of_a_few_groups_are_dealt_out(spark):
+    """Few rows of few groups make many pairs: neither their bytes nor the number of groups may decide how many tasks make them."""
+    users = spark.createDataFrame([(i, "Pune" if i else None) for i in range(200)] + [(7, "Pune")], "request_id long, city string")
+    places = spark.createDataFrame([("A", "Pune"), ("B", "Pune"), ("B", "Pune"), ("C", "Goa"), ("D", None)], "station_id string, city string")
+    pairs = ranking.within_group(users, places, "city")
+    want = users.join(places, "city").select(*pairs.columns)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect()))
+    busy = pairs.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy >= min(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
