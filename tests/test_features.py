@@ -244,3 +244,11 @@ def test_hours_of_sessions_in_one_file_are_made_in_many_tasks(spark):
     counts = {r.timestamp.hour: r["count"] for r in hours.groupBy("timestamp").count().collect()}
     assert counts == {h: 2 * min(h + 1, 3) for h in range(13)}
     assert hours.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_hours_of_all_stations_are_never_broadcast(spark, sf_dir):
+    """Unhinted, Spark may judge the aggregated hours the smaller side, send them to every task and join them in one."""
+    from voltlattice.sources import fixtures
+
+    plan = fixtures.hourly(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [station_id" in plan and "Inner, BuildRight" in plan.split("ShuffledHashJoin", 1)[1].split("\n")[0]
