@@ -295,3 +295,67 @@ def test_pairs_of_a_few_groups_are_dealt_out(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect()))
     busy = pairs.select(F.spark_partition_id().alias("p")).distinct().count()
     assert busy >= min(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def test_conditions_that_no_prediction_tells_apart_are_scored_once(spark, small, monkeypatch):
+    """The baseline reads a lag alone, so requests of one hour share their candidates whatever their temperature."""
+    from voltlattice.operators import forest
+
+    rows = [(i, s, str(NOW), 20.0 + i, bool(i % 2)) for i, s in enumerate("ABCD")] + [(9, "A", str(NOW), 25.0, None)]
+    requests, scored, score = spark.createDataFrame(rows, schemas.REQUESTS), [], decision.score_candidates
+
+    def watched(conditions, *args):
+        found = score(conditions, *args)
+        scored.append((conditions.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(decision, "score_candidates", watched)
+
+    def told(predict):
+        return [sorted(map(str, df.collect())) for df in decision.decide(requests, *small, predict)]
+
+    assert told(forest.baseline_predict) == told(lambda df: forest.baseline_predict(df))
+    # Pune and Goa at one hour, with three and two valid stations; four conditions if they are told apart.
+    assert scored == [(2, 5), (4, 11)]
+
+
+def test_only_pairs_that_can_be_among_the_best_become_rows(spark):
+    rng = random.Random(7)
+    spots = [(18.5 + rng.uniform(-0.1, 0.1), 73.8 + rng.uniform(-0.1, 0.1)) for _ in range(300)] + [(None, 73.8), (float("nan"), 73.8)] + [(18.5, 73.8)] * 40
+    places = [("p" if i % 9 else "q", f"S{i:03d}", *spot, rng.choice([0.1, 0.1, 0.1, 0.2]) if i != 50 else 0.05) for i, spot in enumerate(spots)] * 2
+    kept = spark.createDataFrame(places, "pool string, station_id string, latitude double, longitude double, predicted_occupancy double")
+    people = [("p" if i % 4 else "q", i, f"S{i:03d}", 18.5 + rng.uniform(-0.1, 0.1), 73.8) for i in range(60)] + [("p", 60, "S000", None, 73.8), ("r", 61, "S001", 18.5, 73.8)]
+    asked = spark.createDataFrame(people, "pool string, request_id int, _self string, _lat double, _lon double")
+    kept = ranking.reachable(kept.join(asked.groupBy("pool").agg(F.count(F.lit(1)).alias("_requests")), "pool"), 3, ["pool"]).drop("ties")
+
+    from pyspark.sql import Window as W
+
+    def best(pairs):
+        km_ = ranking.pround(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")), 2)
+        order = W.partitionBy("request_id").orderBy("predicted_occupancy", "km", "station_id")
+        ranked = pairs.filter("station_id <> _self").withColumn("km", km_).withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
+        return sorted(map(str, ranked.select("request_id", "rank", "station_id", "predicted_occupancy", "km").collect()))
+
+    whole, found = asked.join(kept, "pool").drop("pool", "_requests"), ranking.paired(asked, kept, 3, ["pool"])
+    assert sorted(found.columns) == sorted(whole.columns) and best(found) == best(whole)
+    assert found.filter("request_id < 60").count() * 10 < whole.filter("request_id < 60").count()
+
+
+def test_large_groups_are_paired_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PART_REQUESTS", 10)
+    rng = random.Random(2)
+    asked = spark.createDataFrame([("p", i, f"S{i}", 18.5 + rng.uniform(-0.1, 0.1), 73.8) for i in range(95)],
+                                  "pool string, request_id int, _self string, _lat double, _lon double")
+    kept = spark.createDataFrame([("p", f"S{i}", 18.5 + i * 0.001, 73.8, 0.1, 95) for i in range(40)],
+                                 "pool string, station_id string, latitude double, longitude double, predicted_occupancy double, _requests long")
+    found = ranking.paired(asked, kept, 2, ["pool"])
+    assert found.groupBy("request_id").count().agg(F.count(F.lit(1)), F.min("count")).first()[:] == (95, 2)
+    assert found.select("request_id", "station_id").distinct().count() == found.count()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from voltlattice import session
+
+    before = spark.conf.get(session.CLEANUP)
+    made = session.materialize(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "no-files")
+    assert made.count() == 10 and spark.conf.get(session.CLEANUP) == before
