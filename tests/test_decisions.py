@@ -359,3 +359,29 @@ def test_written_tables_leave_no_shuffle_files(spark):
     before = spark.conf.get(session.CLEANUP)
     made = session.materialize(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "no-files")
     assert made.count() == 10 and spark.conf.get(session.CLEANUP) == before
+
+
+def test_pairs_of_recommendations_are_chosen_in_arrays(spark, sf_dir):
+    """Of a user's places, those with the least and largest sub-scores and the best become rows, and no window sorts all pairs."""
+    from voltlattice.catalog import joins
+
+    rng = random.Random(4)
+    rows = [(f"S{i}", 18.5 + rng.uniform(-0.3, 0.3), 73.8 + rng.uniform(-0.3, 0.3), "AC Type 2 (7.4 kW)", rng.randrange(4), 4, float(rng.randrange(9)),
+             rng.choice([1.0, 2.0, None]), 9.0) for i in range(500)]
+    places = spark.createDataFrame(rows, "station_id string, latitude double, longitude double, charger_type string, available_slots int, "
+                                         "total_slots int, estimated_wait_mins double, amenities_score double, tariff_per_kwh double")
+    users = spark.createDataFrame([(i, 18.5 + rng.uniform(-0.1, 0.1), 73.8, v) for i, v in enumerate(["Ather 450X", None, "?"] * 7)],
+                                  "request_id long, user_lat double, user_lon double, vehicle_type string")
+    users = users.unionByName(users.limit(1).withColumns({"request_id": F.lit(99).cast("long"), "user_lat": F.lit(None).cast("double")}))
+    all_pairs = recommendation.near(users, places, 25.0)
+    ends = ranking.chosen_within_radius(users, recommendation._with_scores(places), 25.0, recommendation.extremes(25.0))
+    assert 0 < ends.count() < 12 * 21 < all_pairs.count() / 10
+
+    def bounds(df):
+        columns = ("distance_km", "available_slots", "estimated_wait_mins", "amenities_score", "tariff_per_kwh")
+        told = df.groupBy("request_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in columns))
+        return sorted(map(str, told.collect()))
+
+    assert bounds(recommendation._exact(ends, 25.0)) == bounds(all_pairs)
+    assert recommendation.contenders(users, places, 25.0, 3).count() < 6 * 21
+    assert "Window" not in plan_of(joins.min_max(spark, sf_dir))
